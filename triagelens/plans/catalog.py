@@ -1,0 +1,831 @@
+"""Named queries over the test tables: one per operator of the audit.
+
+Every entry takes ``(spark, sf_dir)`` and reads whole tables.  Arrays are joined with
+``|`` and computed doubles rounded so that results compare across engines.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from triagelens import constants as K
+from triagelens.functions import text as X
+from triagelens.functions.rouge import grounded, rouge_l_recall, rouge_tokens
+from triagelens.operators import analytics as A
+from triagelens.operators import classifier as C
+from triagelens.operators import clusters as U
+from triagelens.operators import dossier as D
+from triagelens.operators import fusion as G
+from triagelens.operators import live as V
+from triagelens.operators import metrics as M
+from triagelens.operators import normalise as N
+from triagelens.operators import resolution as R
+from triagelens.operators import robustness as B
+from triagelens.operators import zero_shot as Z
+from triagelens.operators.encoding import encode_labels
+from triagelens.operators.quantiles import exact_quantiles
+from triagelens.operators.rules import score_rules
+from triagelens.operators.tfidf import fit_tfidf
+from triagelens.plans import audit as P
+from triagelens.profiles import CPU, FULL, LIVE, LIVE_FORM, AuditProfile
+from triagelens.session import shared_dir
+from triagelens.sources import tickets as S
+from triagelens.sources.views import conversation_tickets, table, tickets
+from triagelens.streaming.audit import audit_stream, start_audit
+
+QUERIES = {}
+DIGITS = 6
+
+
+def query(fn):
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _joined(array: Column | str) -> Column:
+    return F.array_join(array, "|")
+
+
+def _r(column: Column | str, name: str, digits: int = DIGITS) -> Column:
+    return F.round(column, digits).alias(name)
+
+
+def canonical(spark: SparkSession, sf_dir: str, profile: AuditProfile = CPU) -> DataFrame:
+    return N.normalise(tickets(spark, sf_dir), profile)
+
+
+def labelled(spark: SparkSession, sf_dir: str, profile: AuditProfile = CPU,
+             llm: str = "proxy") -> DataFrame:
+    return P.label_tickets(canonical(spark, sf_dir, profile), profile, P.Signals(llm=llm))
+
+
+def scored(spark: SparkSession, sf_dir: str, profile: AuditProfile = CPU,
+           llm: str = "proxy") -> DataFrame:
+    out = C.fallback_confidence(labelled(spark, sf_dir, profile, llm), 4.0)
+    if profile is FULL:
+        out = out.drop("mismatch_pred")
+    return out
+
+
+# ------------------------------------------------------------- normalisation
+@query
+def clean_text(spark, sf):
+    return table(spark, sf, "pages").select(
+        "page_id", X.clean_text(F.col("html")).alias("cleaned"))
+
+
+@query
+def normalise_tickets(spark, sf):
+    return canonical(spark, sf, FULL).select(
+        "ticket_id", "ticket_subject", "ticket_description", "ticket_priority",
+        "ticket_channel", "ticket_type", "customer_email", "resolution_hours",
+        "priority_numeric", "customer_domain", "is_enterprise",
+        F.length("full_text").alias("full_text_chars"))
+
+
+@query
+def normalise_conversations(spark, sf):
+    return N.normalise(conversation_tickets(spark, sf), FULL).select(
+        "ticket_id", "ticket_subject", "ticket_description", "ticket_channel", "ticket_type",
+        "customer_domain", "is_enterprise", "resolution_hours", "priority_numeric")
+
+
+@query
+def csv_tickets(spark, sf):
+    """CSV written, read with markers and quoted line breaks, then normalised."""
+    path = shared_dir(spark, "csv-tickets")
+    tickets(spark, sf).drop("created_at").write.csv(path, header=True, escape='"')
+    return N.normalise(S.read_tickets(spark, path), CPU).select(
+        "ticket_id", F.md5("full_text").alias("text_md5"), "ticket_channel", "customer_email",
+        "resolution_hours", "priority_numeric")
+
+
+@query
+def row_ids(spark, sf):
+    """Ids by position: exactly 0..n-1, checked by their extremes and distinct count."""
+    ids = N.with_row_ids(table(spark, sf, "events"), CPU.id_width)
+    return ids.agg(F.count(F.lit(1)).alias("n"), F.min("ticket_id").alias("first_id"),
+                   F.max("ticket_id").alias("last_id"),
+                   F.count_distinct("ticket_id").alias("n_distinct"))
+
+
+@query
+def rejected_priorities(spark, sf):
+    return N.rejected_priorities(tickets(spark, sf), CPU)
+
+
+@query
+def domain_enterprise(spark, sf):
+    domain = X.customer_domain(F.coalesce("customer_email", F.lit("user@unknown.com")))
+    return tickets(spark, sf).select(
+        "ticket_id", domain.alias("customer_domain"), X.is_enterprise(domain).alias("is_enterprise"))
+
+
+@query
+def priority_distribution(spark, sf):
+    return N.priority_distribution(canonical(spark, sf))
+
+
+@query
+def severity_labels(spark, sf):
+    value = F.col("value") / F.lit(20.0)
+    return tickets_values(spark, sf).select(
+        "event_id", X.severity_label(value).alias("label"),
+        X.priority_level_or_default(F.col("event_type")).alias("level_of_type"),
+        X.priority_level_or_default(X.severity_label(value)).alias("level_of_label"))
+
+
+def tickets_values(spark, sf):
+    return table(spark, sf, "events").select("event_id", "event_type", "value")
+
+
+# -------------------------------------------------------------------- rules
+def _rules(df: DataFrame) -> DataFrame:
+    return df.select(
+        "ticket_id", "severity_rules", _joined("rule_keywords").alias("keywords"),
+        _joined("rule_negated").alias("negated"), _r("rule_raw", "raw"), "rule_intensifiers")
+
+
+@query
+def rules_full(spark, sf):
+    return _rules(score_rules(canonical(spark, sf, FULL), FULL.rules))
+
+
+@query
+def rules_cpu(spark, sf):
+    return _rules(score_rules(canonical(spark, sf), CPU.rules))
+
+
+@query
+def rules_live(spark, sf):
+    return _rules(score_rules(V.requests(tickets(spark, sf)), LIVE.rules))
+
+
+@query
+def rules_live_form(spark, sf):
+    return _rules(score_rules(V.requests(tickets(spark, sf)), LIVE_FORM.rules))
+
+
+@query
+def rule_distribution(spark, sf):
+    return (score_rules(canonical(spark, sf, FULL), FULL.rules)
+            .groupBy("severity_rules").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("rule_raw"), "mean_raw")))
+
+
+@query
+def negated_keywords(spark, sf):
+    hits = score_rules(canonical(spark, sf, FULL), FULL.rules)
+    return (hits.select(F.explode("rule_negated").alias("phrase"))
+            .groupBy("phrase").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def evidence_snippets(spark, sf):
+    df = score_rules(canonical(spark, sf, FULL), FULL.rules)
+    top = F.get("rule_keywords", F.lit(0))
+    s, d = F.col("ticket_subject"), F.col("ticket_description")
+    return df.filter(F.size("rule_keywords") > 0).select(
+        "ticket_id", top.alias("phrase"), D.evidence_snippet(s, d, top, FULL).alias("full_snippet"),
+        D.evidence_snippet(s, d, top, CPU).alias("cpu_snippet"),
+        D.evidence_snippet(s, d, F.lit("no such phrase"), FULL).alias("full_missing"),
+        D.evidence_snippet(s, d, F.lit("no such phrase"), CPU).alias("cpu_missing"))
+
+
+# ---------------------------------------------------------------- zero-shot
+@query
+def prompt_text(spark, sf):
+    return canonical(spark, sf, FULL).select(
+        "ticket_id", Z.prompt(F.col("ticket_subject"), F.col("ticket_description"),
+                              F.col("ticket_channel"), F.col("ticket_type")).alias("prompt"))
+
+
+def model_answer() -> Column:
+    """Raw answers of several shapes built from the events' JSON."""
+    number = F.get_json_object("props", "$.k").cast("int")
+    kind = F.col("event_id") % 6
+    good = F.concat(F.lit('{"severity": '), (number % 7).cast("string"),
+                    F.lit(', "reason": "seen '), F.col("event_type"), F.lit('"}'))
+    return (
+        F.when(kind == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
+        .when(kind == 1, F.concat(F.lit("Sure, here it is:\n"), good, F.lit(" I hope it helps.")))
+        .when(kind == 2, F.lit("I cannot rate this ticket"))
+        .when(kind == 3, F.lit('{"severity": 3, "reason": broken}'))
+        .when(kind == 4, F.lit('{"reason": "no level given"}'))
+        .otherwise(F.concat(F.lit('{"severity": "'), (number % 5).cast("string"), F.lit('"}')))
+    )
+
+
+@query
+def parse_model_json(spark, sf):
+    parsed = Z.parse_answer(model_answer())
+    return table(spark, sf, "events").select(
+        "event_id", parsed["severity"].alias("severity"), parsed["reason"].alias("reason"))
+
+
+@query
+def heuristic_severity(spark, sf):
+    return Z.score_heuristic(canonical(spark, sf, FULL)).select(
+        "ticket_id", "severity_llm", "llm_reason")
+
+
+def stub_scorer():
+    """A stand-in model: the level follows from the prompt's length; now and then no
+    usable answer."""
+    def run(prompts):
+        return [None if len(p) % 6 == 5 else
+                f'{{"severity": {len(p) % 6}, "reason": "length {len(p)}"}}' for p in prompts]
+    return run
+
+
+@query
+def custom_scorer(spark, sf):
+    df = canonical(spark, sf, FULL).select(
+        "ticket_id", "ticket_subject", "ticket_description", "ticket_channel", "ticket_type")
+    return Z.score_with(df, stub_scorer).select("ticket_id", "severity_llm", "llm_reason")
+
+
+# --------------------------------------------------------------- resolution
+@query
+def tfidf_weights(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = fit_tfidf(docs, "text", FULL.tfidf_terms, FULL.tfidf_min_df)
+    return model.weights(docs, "doc_id", "text").select("doc_id", "term", _r("weight", "weight"))
+
+
+@query
+def label_encode(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    return encode_labels(encode_labels(docs, "lang", "lang_code"), "source", "source_code").select(
+        "doc_id", "lang", "source", "lang_code", "source_code")
+
+
+def _hours(spark, sf) -> DataFrame:
+    """Hours of the accepted tickets, without touching their text."""
+    return canonical(spark, sf).select("ticket_id", "resolution_hours", "priority_numeric")
+
+
+@query
+def resolution_quartiles(spark, sf):
+    hours = _hours(spark, sf)
+    q = R.quartiles(hours)
+    n = R.training_rows(hours).agg(
+        F.count(F.lit(1)).alias("n_training"),
+        _r(F.avg(F.log1p("resolution_hours")), "mean_log_hours"))
+    return n.select("n_training", "mean_log_hours",
+                    *[F.lit(round(v, DIGITS)).alias(f"q{p}") for v, p in zip(q, (25, 50, 75))])
+
+
+@query
+def severity_fitted_bucket(spark, sf):
+    hours = R.training_rows(_hours(spark, sf))
+    cutoffs = R.quartiles(hours)
+    return hours.select(
+        "ticket_id", R.severity_from_hours(F.col("resolution_hours"), cutoffs).alias("severity"))
+
+
+@query
+def severity_default_bucket(spark, sf):
+    h = F.col("resolution_time_hours")
+    return tickets(spark, sf).select(
+        "ticket_id", R.default_severity(h).alias("severity_batch"),
+        R.default_severity(h, live=True).alias("severity_live"),
+        R.default_severity(-h, live=True).alias("severity_live_negative"))
+
+
+@query
+def signal_distribution(spark, sf):
+    return G.signal_distribution(labelled(spark, sf), CPU)
+
+
+# ----------------------------------------------------------------- clusters
+@query
+def unit_vectors(spark, sf):
+    unit = U.unit_array(F.col("embedding"))
+    norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x))
+    return table(spark, sf, "embeddings").select(
+        "vec_id", _r(norm, "norm"), _r(F.get(unit, F.lit(0)), "first", 5))
+
+
+@query
+def nearest_centroid(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    centroids = [(r["label"], r["centroid"]) for r in
+                 U.mean_vectors(vectors, "label", "embedding").limit(1000).collect()]
+    return U.assign_nearest(vectors, "embedding", centroids, "nearest").select(
+        "vec_id", "label", "nearest")
+
+
+def _clustered(spark, sf) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("cluster"))
+    hours = table(spark, sf, "events").select(
+        F.col("event_id").alias("vec_id"), F.col("value").alias("resolution_hours"))
+    return vectors.join(hours, "vec_id", "left")
+
+
+@query
+def cluster_rank(spark, sf):
+    df = _clustered(spark, sf)
+    full, cpu = U.rank_clusters(df, FULL), U.rank_clusters(df, CPU, k=12)
+    rows = [("full", i, round(m, DIGITS), s) for i, (m, s) in full.items()]
+    rows += [("cpu", i, round(m, DIGITS), s) for i, (m, s) in cpu.items()]
+    return spark.createDataFrame(
+        rows, "profile string, cluster int, median_hours double, severity int")
+
+
+@query
+def cluster_severity(spark, sf):
+    df = _clustered(spark, sf)
+    ranking = U.rank_clusters(df, FULL)
+    return df.select(
+        "vec_id", "cluster", U.cluster_severity(F.col("cluster"), ranking).alias("severity"),
+        U.cluster_severity(F.col("cluster") + 1000, ranking).alias("severity_unknown"),
+        U.cluster_severity(F.col("cluster"), None).alias("severity_unfitted"))
+
+
+# ------------------------------------------------------------------- fusion
+_FUSED = ("ticket_id", "severity_resolution", "severity_rules", "severity_cluster",
+          "severity_fused", "inferred_severity_label", "severity_delta", "mismatch",
+          "mismatch_type")
+
+
+@query
+def fuse_full(spark, sf):
+    return labelled(spark, sf, FULL, "heuristic").select("severity_llm", *_FUSED)
+
+
+@query
+def fuse_cpu(spark, sf):
+    return labelled(spark, sf).select(*_FUSED)
+
+
+@query
+def label_tickets(spark, sf):
+    return labelled(spark, sf, FULL).select(
+        "ticket_id", "ticket_priority", "ticket_channel", "ticket_type", "resolution_hours",
+        "severity_llm", "llm_reason", "severity_fused", "mismatch", "mismatch_type",
+        _joined("rule_keywords").alias("keywords"))
+
+
+@query
+def mismatch_breakdown(spark, sf):
+    df = G.mismatch_breakdown(labelled(spark, sf))
+    return df.withColumn("mismatch_rate", F.round("mismatch_rate", DIGITS))
+
+
+@query
+def signal_agreement(spark, sf):
+    return G.signal_agreement(labelled(spark, sf, FULL, "heuristic"), FULL)
+
+
+@query
+def ablation_full(spark, sf):
+    return G.ablation(labelled(spark, sf, FULL, "heuristic"), FULL)
+
+
+@query
+def ablation_cpu(spark, sf):
+    return G.ablation(labelled(spark, sf), CPU)
+
+
+@query
+def signal_contribution(spark, sf):
+    df = G.signal_contribution(labelled(spark, sf, FULL, "heuristic"), FULL)
+    return df.withColumn("percent_flagged", F.round("percent_flagged", 4))
+
+
+# --------------------------------------------------------------- classifier
+@query
+def model_text(spark, sf):
+    return canonical(spark, sf, FULL).select(
+        "ticket_id", C.time_bin(F.col("resolution_hours")).alias("time_bin"),
+        C.model_text().alias("model_text"))
+
+
+@query
+def numeric_features(spark, sf):
+    df = labelled(spark, sf)
+    features = C.fit_label_encoder
+    channel, kind = features(df, "ticket_channel"), features(df, "ticket_type")
+    columns = C.numeric_features(channel.code(), kind.code())
+    return df.select("ticket_id", *[_r(c, n) for n, c in columns.items()])
+
+
+def _truth(spark, sf) -> DataFrame:
+    """Binary truth with a deterministic score."""
+    return table(spark, sf, "labels").select(
+        "doc_id", F.col("toxic").alias("label"), C.hash_unit(F.col("doc_id"), 7).alias("score"))
+
+
+@query
+def hash_split(spark, sf):
+    return C.hash_split(table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
+@query
+def stratified_split(spark, sf):
+    return C.stratified_split(_truth(spark, sf), "doc_id", "label").select(
+        "doc_id", "label", "split")
+
+
+@query
+def class_weights(spark, sf):
+    df = C.class_weights(_truth(spark, sf), "label")
+    return df.select("label", "n_rows", _r("weight", "weight"))
+
+
+@query
+def threshold_sweep(spark, sf):
+    return M.threshold_sweep(_truth(spark, sf), "score", "label").select(
+        _r("threshold", "threshold", 4), _r("macro_f1", "macro_f1"), "is_best")
+
+
+def _judged(spark, sf) -> DataFrame:
+    return _truth(spark, sf).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def classifier_metrics(spark, sf):
+    df = M.classifier_metrics(_judged(spark, sf), "label", "pred")
+    return df.select(*[_r(c, c) for c in df.columns])
+
+
+@query
+def classification_report(spark, sf):
+    df = M.classification_report(_judged(spark, sf), "label", "pred")
+    return df.select("class", *[_r(c, c) for c in ("precision", "recall", "f1_score")], "support")
+
+
+@query
+def quality_gate(spark, sf):
+    df = M.quality_gate(M.classifier_metrics(_judged(spark, sf), "label", "pred"))
+    return df.select(_r("accuracy", "accuracy"), _joined("failed").alias("failed"), "passed")
+
+
+@query
+def fallback_confidence(spark, sf):
+    live = C.override_type(C.fallback_confidence(labelled(spark, sf), 3.0))
+    return live.select(
+        "ticket_id", "mismatch_pred", _r("mismatch_confidence", "confidence_service"),
+        _r(F.abs("severity_delta") / F.lit(4.0), "confidence_form"), "mismatch_type")
+
+
+# ------------------------------------------------------------------ dossiers
+def _item(df: DataFrame, item: Column) -> DataFrame:
+    return df.withColumn("e", item).filter(F.col("e").isNotNull()).select(
+        "ticket_id", F.col("e.signal").alias("signal"), F.col("e.value").alias("value"),
+        F.col("e.interpretation").alias("interpretation"), F.col("e.weight").alias("weight"))
+
+
+@query
+def evidence_keyword(spark, sf):
+    return _item(scored(spark, sf), D.keyword_evidence(CPU)).drop("interpretation")
+
+
+@query
+def evidence_resolution(spark, sf):
+    return _item(canonical(spark, sf, FULL), D.resolution_evidence(FULL))
+
+
+@query
+def evidence_resolution_cpu(spark, sf):
+    return _item(canonical(spark, sf), D.resolution_evidence(CPU))
+
+
+@query
+def evidence_channel(spark, sf):
+    return _item(scored(spark, sf, FULL), D.channel_evidence(FULL))
+
+
+@query
+def evidence_tier(spark, sf):
+    return _item(scored(spark, sf, FULL), D.tier_evidence(FULL))
+
+
+@query
+def evidence_llm(spark, sf):
+    df = scored(spark, sf, FULL, "heuristic").withColumn("e", D.llm_evidence(stemmed=False))
+    return df.filter(F.col("e").isNotNull()).select(
+        "ticket_id", F.col("e.value").alias("value"), F.col("e.grounded").alias("grounded"))
+
+
+def _flat(dossiers: DataFrame) -> DataFrame:
+    items = F.col("feature_evidence")
+
+    def part(name: str) -> Column:
+        return _joined(F.transform(items, lambda e: F.coalesce(e[name], F.lit("-"))))
+
+    return dossiers.select(
+        "ticket_id", "assigned_priority", "inferred_severity", "mismatch_type", "severity_delta",
+        F.size(items).alias("n_evidence"), part("signal").alias("signals"),
+        part("value").alias("evidence_values"), part("interpretation").alias("interpretations"),
+        part("weight").alias("weights"), "constraint_analysis", "confidence")
+
+
+@query
+def dossiers(spark, sf):
+    return _flat(D.build_dossiers(scored(spark, sf), CPU))
+
+
+@query
+def dossiers_full(spark, sf):
+    df = scored(spark, sf, FULL, "heuristic")
+    return _flat(D.build_dossiers(df, FULL, stemmed=False))
+
+
+@query
+def evidence_array(spark, sf):
+    df = scored(spark, sf)
+    return (df.select(F.explode(D.evidence_array(CPU)).alias("e"))
+            .groupBy(F.col("e.signal").alias("signal"), F.col("e.weight").alias("weight"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def dossier_validation(spark, sf):
+    """Dossiers of all tickets, so that consistent ones show up as invalid."""
+    everything = scored(spark, sf).withColumn("mismatch_pred", F.lit(1))
+    return D.validate_dossiers(D.build_dossiers(everything, CPU)).select(
+        "ticket_id", "mismatch_type", "is_valid", _joined("violations").alias("violations"))
+
+
+@query
+def dossier_summary(spark, sf):
+    return D.dossier_summary(D.build_dossiers(scored(spark, sf), CPU))
+
+
+@query
+def live_audit(spark, sf):
+    return V.audit_requests(tickets(spark, sf)).select(
+        "ticket_id", "mismatch_pred", "mismatch_type", _r("mismatch_confidence", "confidence", 4),
+        "inferred_severity_label", "severity_delta", _joined("rule_keywords").alias("keywords"),
+        "constraint_analysis")
+
+
+@query
+def live_dossier(spark, sf):
+    df = V.live_dossiers(V.audit_requests(tickets(spark, sf)))
+    e = F.col("evidence")
+    return df.select(
+        "ticket_id", "assigned_priority", "inferred_severity", "mismatch_type", "severity_delta",
+        "confidence", _joined(F.transform(e, lambda x: x["severity"].cast("string"))).alias("levels"),
+        _joined(F.transform(e, lambda x: x["weight"])).alias("weights"),
+        _joined(e[0]["keywords"]).alias("keywords"), _r(e[1]["hours"], "hours"))
+
+
+@query
+def form_dossier(spark, sf):
+    df = V.form_dossiers(V.audit_requests(tickets(spark, sf), LIVE_FORM))
+    e = F.col("feature_evidence")
+    return df.select(
+        "ticket_id", "mismatch_type", "confidence", "constraint_analysis",
+        e["ensemble"]["sev_fused"].alias("sev_fused"),
+        _joined(e["keywords"]["matched"]).alias("matched"))
+
+
+def _passages(spark, sf) -> DataFrame:
+    """Every whole document with one whole benchmark passage."""
+    passages = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("generated"))
+    n = passages.agg(F.count(F.lit(1))).scalar()
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("source"))
+    return docs.withColumn("item_id", F.col("doc_id") % n).join(passages, "item_id")
+
+
+@query
+def grounding_rouge_l(spark, sf):
+    source, generated = F.col("source"), F.col("generated")
+    return _passages(spark, sf).select(
+        "doc_id", F.size(rouge_tokens(source)).alias("n_source"),
+        F.size(rouge_tokens(generated)).alias("n_generated"),
+        _r(rouge_l_recall(source, generated, False), "recall"),
+        _r(rouge_l_recall(source, generated, True), "recall_stemmed"),
+        grounded(source, generated, 0.25, False).alias("grounded"))
+
+
+@query
+def grounding_tokens(spark, sf):
+    source, generated = F.col("source"), F.col("generated")
+    return _passages(spark, sf).select(
+        "doc_id", F.size(rouge_tokens(source)).alias("n_source"),
+        F.size(rouge_tokens(generated)).alias("n_generated"))
+
+
+# ----------------------------------------------------------------- analytics
+@query
+def kpis(spark, sf):
+    df = A.kpis(scored(spark, sf))
+    return df.withColumn("mismatch_rate", F.round("mismatch_rate", DIGITS))
+
+
+@query
+def type_counts(spark, sf):
+    return A.type_counts(scored(spark, sf))
+
+
+@query
+def type_by_channel(spark, sf):
+    return A.type_by_channel(scored(spark, sf))
+
+
+@query
+def assigned_vs_inferred(spark, sf):
+    return A.assigned_vs_inferred(scored(spark, sf))
+
+
+@query
+def delta_heatmap(spark, sf):
+    return A.delta_heatmap(scored(spark, sf)).withColumn(
+        "mean_delta", F.round("mean_delta", DIGITS))
+
+
+@query
+def confidence_histogram(spark, sf):
+    return A.confidence_histogram(scored(spark, sf))
+
+
+@query
+def confidence_histogram_by_type(spark, sf):
+    return A.confidence_histogram(scored(spark, sf), 30, "mismatch_type")
+
+
+@query
+def stats_payload(spark, sf):
+    payload = A.stats_payload(scored(spark, sf))
+
+    def number(path: str) -> Column:
+        return F.coalesce(F.get_json_object("payload", path).cast("bigint"), F.lit(0))
+
+    return payload.select(
+        number("$.total").alias("total"), number("$.n_mismatch").alias("n_mismatch"),
+        number("$.type_counts['Hidden Crisis']").alias("hidden_crisis"),
+        number("$.type_counts['False Alarm']").alias("false_alarm"),
+        number("$.priority_dist.CRITICAL").alias("raw_critical"),
+        number("$.inferred_dist.High").alias("inferred_high"),
+        number("$.conf_hist[10].y").alias("bin_10"),
+        number("$.conf_hist[15].y").alias("bin_15"))
+
+
+@query
+def preview(spark, sf):
+    return A.preview(tickets(spark, sf)).select(
+        "ticket_id", "ticket_subject", "ticket_description", "priority_level")
+
+
+@query
+def top_flagged(spark, sf):
+    return A.top_flagged(scored(spark, sf)).select(
+        "ticket_id", "mismatch_type", _r("mismatch_confidence", "confidence"), "severity_delta")
+
+
+# ---------------------------------------------------------------- robustness
+def cases(spark, sf) -> DataFrame:
+    """All tickets as labelled cases: the expectation follows from the injected phrase."""
+    raw = tickets(spark, sf)
+    crisis = F.col("ticket_subject").rlike("breach in progress|payroll|locked out|production")
+    trivial = F.col("ticket_subject").rlike("typo|font|fine now")
+    low = F.lower(F.col("priority_level")).rlike("low|medium")
+    expected = F.when(crisis & low, K.HIDDEN_CRISIS).when(trivial & ~low, K.FALSE_ALARM).otherwise(
+        K.CONSISTENT)
+    return raw.select(
+        "ticket_id", "ticket_subject", "ticket_description",
+        F.col("priority_level").alias("ticket_priority"), "ticket_channel",
+        F.col("issue_category").alias("ticket_type"), "customer_email",
+        F.col("resolution_time_hours").alias("resolution_hours"),
+        expected.alias("expected_type"),
+        (expected != K.CONSISTENT).cast("int").alias("expected_mismatch"))
+
+
+@query
+def robustness_report(spark, sf):
+    return B.robustness_report(B.score_cases(cases(spark, sf)))
+
+
+@query
+def type_confusion(spark, sf):
+    return B.type_confusion(B.score_cases(cases(spark, sf)))
+
+
+# ------------------------------------------------------------ sinks, streams
+@query
+def labeled_roundtrip(spark, sf):
+    path = shared_dir(spark, "labeled")
+    S.write_labeled(labelled(spark, sf), path)
+    back = spark.read.parquet(path)
+    return back.select("ticket_id", "severity_fused", "mismatch_type",
+                       _joined("rule_keywords").alias("keywords"), _r("rule_raw", "raw"))
+
+
+@query
+def predictions_roundtrip(spark, sf):
+    path = shared_dir(spark, "predictions")
+    S.write_predictions(scored(spark, sf).drop("mismatch"), path)
+    back = spark.read.csv(path, header=True, escape='"', multiLine=True)
+    return back.select(
+        "ticket_id", "ticket_subject", "ticket_priority", "inferred_severity_label",
+        F.col("mismatch_pred").cast("int").alias("mismatch_pred"),
+        _r(F.col("mismatch_confidence").cast("double"), "mismatch_confidence"), "mismatch_type",
+        F.col("severity_delta").cast("int").alias("severity_delta"))
+
+
+@query
+def dossier_roundtrip(spark, sf):
+    path = shared_dir(spark, "dossiers")
+    S.write_dossiers(D.build_dossiers(scored(spark, sf), CPU), path)
+    return _flat(S.read_dossiers(spark, path))
+
+
+@query
+def run_summary(spark, sf):
+    """The summary file, written as one JSON row and read back."""
+    path = shared_dir(spark, "summary")
+    S.write_summary(G.mismatch_breakdown(labelled(spark, sf, FULL)), path)
+    back = spark.read.schema("n_total bigint, n_mismatch bigint, mismatch_rate double, "
+                             "hidden_crisis bigint, false_alarm bigint").json(path)
+    return back.withColumn("mismatch_rate", F.round("mismatch_rate", DIGITS))
+
+
+@query
+def stream_audit(spark, sf):
+    """The events as a stream, joined with the static documents and audited."""
+    from triagelens.sources.views import tickets_from
+
+    static = table(spark, sf, "events")
+    events = spark.readStream.schema(static.schema).parquet(f"{sf}/events.parquet")
+    stream = tickets_from(events, table(spark, sf, "documents"))
+    path = shared_dir(spark, "stream")
+    start_audit(audit_stream(stream), f"{path}/out", f"{path}/checkpoint",
+                available_now=True).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(
+        "ticket_id", "outcome", "severity_fused", "mismatch_pred", "mismatch_type",
+        _r("mismatch_confidence", "confidence"), _joined("rule_keywords").alias("keywords"))
+
+
+# ------------------------------------------------------------- fitted models
+# Small models keep these runs short; the library defaults are the full ones.
+_SMALL_REGRESSOR = {"max_iter": 5, "max_depth": 3}
+
+
+@query
+def fit_resolution(spark, sf):
+    df = canonical(spark, sf)
+    model = R.fit_resolution(df, CPU, **_SMALL_REGRESSOR)
+    return model.score(df).groupBy("severity_resolution").agg(
+        F.count(F.lit(1)).alias("n"), _r(F.avg("predicted_hours"), "mean_hours", 2))
+
+
+@query
+def top_features(spark, sf):
+    model = R.fit_resolution(canonical(spark, sf), CPU, **_SMALL_REGRESSOR)
+    return model.top_features()
+
+
+@query
+def fit_clusters(spark, sf):
+    df = _clustered(spark, sf).join(
+        table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
+    model = U.fit_clusters(df.drop("cluster"), "embedding", CPU, restarts=2, max_iter=50)
+    return model.score(df.drop("cluster")).groupBy("cluster", "severity_cluster").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def _train(spark, sf):
+    df = labelled(spark, sf)
+    return df, C.train_classifier(df, trees=5, max_depth=4, max_terms=100)
+
+
+@query
+def fit_classifier(spark, sf):
+    return _train(spark, sf)[1].metrics
+
+
+@query
+def fit_forest(spark, sf):
+    df = labelled(spark, sf)
+    return C.train_classifier(df, algorithm="forest", trees=10, max_depth=5, max_terms=100,
+                              without_leak=True).metrics
+
+
+@query
+def fit_text_classifier(spark, sf):
+    df = labelled(spark, sf, FULL)
+    return C.train_text_classifier(df, max_terms=200, regularisation=(0.01,), max_iter=10).metrics
+
+
+@query
+def score_all(spark, sf):
+    """Train, store, load again, score every ticket."""
+    df, model = _train(spark, sf)
+    path = shared_dir(spark, "classifier")
+    model.save(path)
+    loaded = C.MismatchClassifier.load(spark, path)
+    return loaded.score(df).groupBy("mismatch", "mismatch_pred").agg(
+        F.count(F.lit(1)).alias("n"), _r(F.avg("mismatch_confidence"), "mean_confidence", 3))
+
+
+@query
+def value_quantiles(spark, sf):
+    """Exact quantiles per event type."""
+    q = exact_quantiles(table(spark, sf, "events"), "value", (0.1, 0.5, 0.9), ("event_type",))
+    return spark.createDataFrame(
+        [(k[0], *[round(x, DIGITS) for x in v]) for k, v in q.items()],
+        "event_type string, p10 double, p50 double, p90 double")
