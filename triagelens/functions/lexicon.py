@@ -58,12 +58,15 @@ def _by_first_word(entries: list[_Entry]) -> dict[str, list[_Entry]]:
     return table
 
 
-def _entry_literal(entry: _Entry) -> Column:
-    return F.struct(
-        F.lit(entry.order).alias("ord"),
-        F.lit(entry.tier).alias("tier"),
-        F.lit(entry.phrase).alias("phrase"),
-        F.lit(f" {' '.join(entry.words)} ").alias("needle"),
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _entry_sql(entry: _Entry) -> str:
+    needle = f" {' '.join(entry.words)} "
+    return (
+        f"named_struct('ord', {entry.order}, 'tier', {_quoted(entry.tier)}, "
+        f"'phrase', {_quoted(entry.phrase)}, 'needle', {_quoted(needle)})"
     )
 
 
@@ -75,11 +78,12 @@ def phrase_hits(text: Column, line: Column, profile: RuleProfile) -> Column:
     is a substring of the (at most) five preceding tokens joined by spaces.
     """
     table = _by_first_word(_entries(profile))
-    first_words = F.array(*[F.lit(w) for w in table])
-    lookup = F.create_map(
-        *[c for w, es in table.items()
-          for c in (F.lit(w), F.array(*[_entry_literal(e) for e in es]))]
-    )
+    # One SQL text per literal: building them value by value costs seconds of driver time.
+    first_words = F.expr(f"array({', '.join(map(_quoted, table))})")
+    pairs = [
+        f"{_quoted(w)}, array({', '.join(map(_entry_sql, es))})" for w, es in table.items()
+    ]
+    lookup = F.expr(f"map({', '.join(pairs)})")
     negation = "|".join(re.escape(n) for n in profile.negations)
 
     present = F.array_intersect(first_words, F.split(line, " "))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelens import constants as K
@@ -81,6 +81,24 @@ def contains_count(text: Column, words: Iterable[str]) -> Column:
     return total
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    A filter on a computed column is pushed below the projection by copying the
+    expression, and copies of nested copies explode for long expressions.  Columns
+    made by a generator are not copied: predicates on them stay above it, predicates on
+    other columns still move down.
+    """
+    fields = [c.alias(name) for name, c in columns.items()]
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*fields))))
+
+
 def missing_to_null(text: Column) -> Column:
     return F.when(~text.isin(*K.MISSING_MARKERS), text)
 

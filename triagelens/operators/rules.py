@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelens.functions import lexicon as L
-from triagelens.functions.text import contains_count
+from triagelens.functions.text import compute_once, contains_count
 from triagelens.profiles import RuleProfile
 
 _TEXT, _LINE, _HITS = "__rule_text", "__rule_line", "__rule_hits"
@@ -47,12 +47,13 @@ def score_rules(
     reported = raw if profile.raw_decimals is None else F.round(raw, profile.raw_decimals)
     n_critical = F.size(L.hit_phrases(hits, "critical", False))
     n_low = F.size(L.hit_phrases(hits, "low", False))
-    return scored.withColumns(
+    return compute_once(
+        scored,
         {
             "severity_rules": L.severity_from_score(raw, n_critical, n_low, profile),
             "rule_keywords": L.joined_parts(hits, profile.matched_parts, False),
             "rule_negated": L.joined_parts(hits, profile.negated_parts, True),
             "rule_raw": reported,
             "rule_intensifiers": contains_count(text, profile.intensifiers),
-        }
+        },
     ).drop(_TEXT, _LINE, _HITS, "__rule_score")

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from triagelens import constants as K
 from triagelens.functions.lexicon import rule_text
-from triagelens.functions.text import contains_count, snippet
+from triagelens.functions.text import compute_once, contains_count, snippet
 
 # A scorer takes prompts and returns one raw answer (or None) per prompt.
 Scorer = Callable[[list[str]], list[str | None]]
@@ -86,12 +86,10 @@ def heuristic(subject: Column, description: Column) -> Column:
 
 
 def _emit(df: DataFrame, scored: Column) -> DataFrame:
-    return (
-        df.withColumn("__scored", scored)
-        .withColumns({"severity_llm": F.col("__scored.severity"),
-                      "llm_reason": F.col("__scored.reason")})
-        .drop("__scored")
-    )
+    ready = compute_once(df, {"__scored": scored})
+    return ready.withColumns(
+        {"severity_llm": F.col("__scored.severity"), "llm_reason": F.col("__scored.reason")}
+    ).drop("__scored")
 
 
 def score_heuristic(df: DataFrame) -> DataFrame:
@@ -115,8 +113,8 @@ def score_with(df: DataFrame, make_scorer: Callable[[], Scorer], batch: int = 64
     ``make_scorer`` is called once per task, so a model is loaded once and then fed
     Arrow batches.  Answers are parsed, and failed rows replaced, on the JVM side.
     """
-    schema = StructType(df.schema.fields).add("__answer", "string")
-    columns = df.columns
+    columns = list(df.columns)
+    schema = StructType(list(df.schema.fields)).add("__answer", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()

@@ -472,7 +472,7 @@ def fallback_confidence(spark, sf):
 
 # ------------------------------------------------------------------ dossiers
 def _item(df: DataFrame, item: Column) -> DataFrame:
-    return df.withColumn("e", item).filter(F.col("e").isNotNull()).select(
+    return X.compute_once(df, {"e": item}).filter(F.col("e").isNotNull()).select(
         "ticket_id", F.col("e.signal").alias("signal"), F.col("e.value").alias("value"),
         F.col("e.interpretation").alias("interpretation"), F.col("e.weight").alias("weight"))
 
@@ -504,7 +504,8 @@ def evidence_tier(spark, sf):
 
 @query
 def evidence_llm(spark, sf):
-    df = scored(spark, sf, FULL, "heuristic").withColumn("e", D.llm_evidence(stemmed=False))
+    df = X.compute_once(scored(spark, sf, FULL, "heuristic"),
+                        {"e": D.llm_evidence(stemmed=False)})
     return df.filter(F.col("e").isNotNull()).select(
         "ticket_id", F.col("e.value").alias("value"), F.col("e.grounded").alias("grounded"))
 
