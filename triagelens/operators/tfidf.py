@@ -58,7 +58,7 @@ class TfIdf:
     def _weights(self, counts: Column) -> Column:
         return F.zip_with(
             vector_to_array(counts),
-            F.array(*[F.lit(x) for x in self.idf]),
+            F.expr("array(" + ", ".join(f"{x!r}D" for x in self.idf) + ")"),
             lambda tf, idf: F.when(tf > 0, (F.lit(1.0) + F.log(tf)) * idf).otherwise(F.lit(0.0)),
         )
 
@@ -78,7 +78,8 @@ class TfIdf:
             return df.select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
         counted = self.counts_vector(df.select(key, text), text, "__counts")
         listed = F.zip_with(
-            F.array(*[F.lit(t) for t in self.vocabulary]),
+            # Terms hold word characters and blanks only, so quoting is enough.
+            F.expr("array(" + ", ".join(f"'{t}'" for t in self.vocabulary) + ")"),
             self._weights(F.col("__counts")),
             lambda t, w: F.struct(t.alias("term"), w.alias("w")),
         )

@@ -95,7 +95,7 @@ def normalise_conversations(spark, sf):
 def csv_tickets(spark, sf):
     """CSV written, read with markers and quoted line breaks, then normalised."""
     path = shared_dir(spark, "csv-tickets")
-    tickets(spark, sf).drop("created_at").write.csv(path, header=True, escape='"')
+    tickets(spark, sf).drop("created_at").write.csv(path, **S.CSV_OPTIONS)
     return N.normalise(S.read_tickets(spark, path), CPU).select(
         "ticket_id", F.md5("full_text").alias("text_md5"), "ticket_channel", "customer_email",
         "resolution_hours", "priority_numeric")
@@ -720,7 +720,7 @@ def labeled_roundtrip(spark, sf):
 def predictions_roundtrip(spark, sf):
     path = shared_dir(spark, "predictions")
     S.write_predictions(scored(spark, sf).drop("mismatch"), path)
-    back = spark.read.csv(path, header=True, escape='"', multiLine=True)
+    back = spark.read.csv(path, multiLine=True, **S.CSV_OPTIONS)
     return back.select(
         "ticket_id", "ticket_subject", "ticket_priority", "inferred_severity_label",
         F.col("mismatch_pred").cast("int").alias("mismatch_pred"),
@@ -751,7 +751,7 @@ def stream_audit(spark, sf):
     from triagelens.sources.views import tickets_from
 
     static = table(spark, sf, "events")
-    events = spark.readStream.schema(static.schema).parquet(f"{sf}/events.parquet")
+    events = spark.readStream.schema(static.schema).parquet(f"{sf}/events.parque[t]")
     stream = tickets_from(events, table(spark, sf, "documents"))
     path = shared_dir(spark, "stream")
     start_audit(audit_stream(stream), f"{path}/out", f"{path}/checkpoint",

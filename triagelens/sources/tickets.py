@@ -9,6 +9,11 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 from triagelens.functions.text import missing_to_null
 from triagelens.operators.dossier import DOSSIER
 
+# Quotes are doubled, and blanks at the ends of a cell are data.
+CSV_OPTIONS = {
+    "header": True, "quote": '"', "escape": '"',
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 PREDICTION_COLUMNS = (
     "ticket_id", "ticket_subject", "ticket_priority", "inferred_severity_label", "mismatch",
     "mismatch_pred", "mismatch_confidence", "mismatch_type", "severity_delta",
@@ -24,8 +29,7 @@ def read_tickets(spark: SparkSession, path: str, fmt: str = "csv",
     """
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', quote='"',
-                         inferSchema=False, mode="PERMISSIVE")
+    raw = spark.read.csv(path, multiLine=multi_line, inferSchema=False, **CSV_OPTIONS)
     return raw.select(*[missing_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 
@@ -41,7 +45,7 @@ def flatten_for_csv(df: DataFrame) -> DataFrame:
 def write_labeled(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """The whole enriched table."""
     if fmt == "csv":
-        flatten_for_csv(df).write.mode("overwrite").csv(path, header=True, escape='"')
+        flatten_for_csv(df).write.mode("overwrite").csv(path, **CSV_OPTIONS)
     else:
         df.write.mode("overwrite").format(fmt).save(path)
 

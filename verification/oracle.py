@@ -260,13 +260,13 @@ put("clean_text", "", f"SELECT page_id, {clean('html')} AS cleaned FROM pages")
 put("normalise_tickets", BATCH, """SELECT ticket_id, ticket_subject, ticket_description, ticket_priority,
   ticket_channel, ticket_type, customer_email, resolution_hours, priority_numeric, customer_domain,
   is_enterprise, (length(ticket_subject) + 2 + length(ticket_description))::INTEGER AS full_text_chars FROM n""")
-put("normalise_conversations", f"""ct AS (
-  SELECT 'C' || lpad(conv_id::VARCHAR, 8, '0') AS ticket_id, list(text ORDER BY turn, text) AS t,
-    {deal(PRIORITIES, 'conv_id % 7')} AS ticket_priority, {deal(CHANNELS, 'conv_id % 8')} AS ticket_channel,
+put("normalise_conversations", f"""tickets AS (
+  SELECT lpad(conv_id::VARCHAR, 8, '0') || '-' || turn::VARCHAR AS ticket_id,
+    'conversation turn ' || turn::VARCHAR AS ticket_subject, text AS ticket_description,
+    {deal(PRIORITIES, '(conv_id + turn) % 7')} AS ticket_priority, {deal(CHANNELS, 'conv_id % 8')} AS ticket_channel,
     'topic ' || (conv_id % 5)::VARCHAR AS ticket_type, 'c' || conv_id::VARCHAR || '@desk.example.org' AS customer_email,
-    CASE WHEN conv_id % 9 <> 0 THEN ((conv_id * 37) % 240)::DOUBLE END AS resolution_hours
-  FROM conversations WHERE role = 'user' GROUP BY conv_id),
-tickets AS (SELECT *, t[1] AS ticket_subject, array_to_string(t[2:], ' ') AS ticket_description FROM ct),
+    CASE WHEN conv_id % 9 <> 0 THEN ((conv_id * 37 + turn) % 240)::DOUBLE END AS resolution_hours
+  FROM conversations WHERE role = 'user'),
 {norm()}""", """SELECT ticket_id, ticket_subject, ticket_description, ticket_channel, ticket_type,
   customer_domain, is_enterprise, resolution_hours, priority_numeric FROM n""")
 put("csv_tickets", BATCH, """SELECT ticket_id, md5(ticket_subject || '. ' || ticket_description) AS text_md5,
