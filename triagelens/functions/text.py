@@ -34,7 +34,8 @@ def clean_text(text: Column) -> Column:
     """Drop tags, then URLs, collapse white space, trim; NULL becomes ``''``."""
     no_tags = F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", " ")
     no_urls = F.regexp_replace(no_tags, rf"https?://[^{SPACE}]+", " ")
-    return F.trim(F.regexp_replace(no_urls, rf"[{SPACE}]++", " "))
+    # A blank between two words is already as it should be, so it is not matched.
+    return F.trim(F.regexp_replace(no_urls, rf"(?! [^{SPACE}])[{SPACE}]++", " "))
 
 
 def customer_domain(email: Column) -> Column:

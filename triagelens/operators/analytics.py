@@ -66,18 +66,21 @@ def assigned_vs_inferred(df: DataFrame) -> DataFrame:
 def delta_heatmap(df: DataFrame) -> DataFrame:
     """Mean delta per type and channel; empty cells are 0.
 
-    The tickets shrink to one cell per (type, channel) first; only cells are regrouped
-    to fill the gaps, so nothing depends on the number of tickets.
+    The tickets shrink to one cell per (type, channel) first.  Only the cells, which are
+    the report itself, are then regrouped to fill the gaps; the tickets are read once.
     """
     cells = df.groupBy("ticket_type", "ticket_channel").agg(
         F.avg("severity_delta").alias("mean_delta"))
-    channels = cells.agg(F.array_sort(F.collect_set("ticket_channel"))).scalar()
-    rows = cells.groupBy("ticket_type").agg(
-        F.map_from_entries(F.collect_list(F.struct("ticket_channel", "mean_delta"))).alias("m"))
-    filled = rows.select("ticket_type", "m", F.explode(channels).alias("ticket_channel"))
-    mean = F.coalesce(F.col("m")[F.col("ticket_channel")], F.lit(0.0))
-    return filled.select("ticket_type", "ticket_channel", mean.alias("mean_delta"),
-                         fixed(mean, 2, plus=True).alias("label"))
+    table = cells.agg(
+        F.collect_set("ticket_type").alias("types"),
+        F.collect_set("ticket_channel").alias("channels"),
+        F.map_from_entries(F.collect_list(F.struct(
+            F.struct("ticket_type", "ticket_channel"), "mean_delta"))).alias("m"))
+    grid = table.select("m", "channels", F.explode("types").alias("ticket_type")).select(
+        "m", "ticket_type", F.explode("channels").alias("ticket_channel"))
+    mean = F.coalesce(F.col("m")[F.struct("ticket_type", "ticket_channel")], F.lit(0.0))
+    return grid.select("ticket_type", "ticket_channel", mean.alias("mean_delta"),
+                       fixed(mean, 2, plus=True).alias("label"))
 
 
 def confidence_histogram(df: DataFrame, bins: int = 20, by: str | None = None) -> DataFrame:

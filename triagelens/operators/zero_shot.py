@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from triagelens import constants as K
 from triagelens.functions.lexicon import rule_text
-from triagelens.functions.text import compute_once, contains_count, snippet
+from triagelens.functions.text import compute_once, contains_count, let, snippet
 
 # A scorer takes prompts and returns one raw answer (or None) per prompt.
 Scorer = Callable[[list[str]], list[str | None]]
@@ -62,27 +62,34 @@ def parse_answer(answer: Column) -> Column:
 
 def heuristic(subject: Column, description: Column) -> Column:
     """``struct<severity int, reason string>`` from substring counts."""
-    text = rule_text(subject, description)
     original = F.concat(subject, F.lit(" "), description)
-    critical = contains_count(text, K.HEURISTIC_CRITICAL)
-    high = contains_count(text, K.HEURISTIC_HIGH)
-    low = contains_count(text, K.HEURISTIC_LOW)
-    severity = (
-        F.when(critical >= 2, 4)
-        .when((critical == 1) | (high >= 2), 3)
-        .when(high == 1, 2)
-        .when(low >= 1, 1)
-        .otherwise(K.DEFAULT_LEVEL)
-    )
-    position = None
-    for word in K.HEURISTIC_CRITICAL + K.HEURISTIC_HIGH:
-        at = F.nullif(F.instr(text, F.lit(word)), F.lit(0))
-        position = [at] if position is None else position + [at]
-    first = F.coalesce(*position)
-    reason = F.when(first.isNotNull(), snippet(original, first, 20, 50)).otherwise(
-        F.substring(subject, 1, 80)
-    )
-    return F.struct(severity.alias("severity"), reason.alias("reason"))
+
+    def count(text: Column) -> Column:
+        positions = [F.nullif(F.instr(text, F.lit(w)), F.lit(0))
+                     for w in K.HEURISTIC_CRITICAL + K.HEURISTIC_HIGH]
+        return F.struct(
+            contains_count(text, K.HEURISTIC_CRITICAL).alias("critical"),
+            contains_count(text, K.HEURISTIC_HIGH).alias("high"),
+            contains_count(text, K.HEURISTIC_LOW).alias("low"),
+            F.coalesce(*positions).alias("first"),
+        )
+
+    def judge(row: Column) -> Column:
+        severity = (
+            F.when(row["critical"] >= 2, 4)
+            .when((row["critical"] == 1) | (row["high"] >= 2), 3)
+            .when(row["high"] == 1, 2)
+            .when(row["low"] >= 1, 1)
+            .otherwise(K.DEFAULT_LEVEL)
+        )
+        reason = F.when(row["first"].isNotNull(), snippet(original, row["first"], 20, 50))
+        return F.struct(
+            severity.alias("severity"),
+            reason.otherwise(F.substring(subject, 1, 80)).alias("reason"),
+        )
+
+    # The lower-case text and the counts are bound once; each is used many times.
+    return let(let(rule_text(subject, description), count), judge)
 
 
 def _emit(df: DataFrame, scored: Column) -> DataFrame:

@@ -39,9 +39,15 @@ def tickets_from(events: DataFrame, documents: DataFrame) -> DataFrame:
     keyed = events.select(
         event, user, "event_type", "value", "ts", (event % n_docs).alias("doc_id")
     )
-    # Sort-merge on purpose: each document moves once, before it is repeated per event,
-    # and every later stage runs with the shuffle's parallelism and skew handling.
-    joined = keyed.join(documents.select("doc_id", "text").hint("merge"), "doc_id")
+    # Both sides are hashed on the document: each document moves once, before it is
+    # repeated per event.  The number of partitions is given because the join's output
+    # is many times its input, which would make AQE merge partitions by the input size.
+    # The computed key spreads events evenly, so no partition is hot.
+    spark = documents.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                spark.sparkContext.defaultParallelism)
+    texts = documents.select("doc_id", "text").repartition(parts, "doc_id").hint("merge")
+    joined = keyed.repartition(parts, "doc_id").join(texts, "doc_id")
     return joined.select(
         F.concat(F.lit("T"), F.lpad(event.cast("string"), 8, "0")).alias("ticket_id"),
         _pick(PHRASES, event % 12).alias("ticket_subject"),
