@@ -15,7 +15,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelens.functions.text import WORD
+from triagelens.functions.text import WORD, compute_once
+from triagelens.session import spread
 
 # The vocabulary is collected and travels with every task, so it must stay small.
 MAX_TERMS = 100_000
@@ -76,16 +77,23 @@ class TfIdf:
         """Long form ``(key, term, weight)``, non-zero weights only; no shuffle."""
         if not self.vocabulary:
             return df.select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
-        counted = self.counts_vector(df.select(key, text), text, "__counts")
+        counted = self.counts_vector(spread(df.select(key, text)), text, "__counts")
         listed = F.zip_with(
             # Terms hold word characters and blanks only, so quoting is enough.
             F.expr("array(" + ", ".join(f"'{t}'" for t in self.vocabulary) + ")"),
             self._weights(F.col("__counts")),
             lambda t, w: F.struct(t.alias("term"), w.alias("w")),
         )
-        kept = counted.select(key, F.filter(listed, lambda x: x["w"] > 0).alias("kept"))
+        # Once per row: the generator below adds a filter on its input, which would
+        # otherwise be evaluated again underneath.
+        kept = compute_once(
+            counted.select(key, "__counts"), {"kept": F.filter(listed, lambda x: x["w"] > 0)}
+        ).select(key, "kept")
         total = F.aggregate("kept", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-        return kept.select(key, F.sqrt(total).alias("norm"), F.inline("kept")).select(
+        # The norm is a column of its own below the generator, else every exploded row
+        # would compute it again.
+        normed = kept.withColumn("norm", F.sqrt(total))
+        return normed.select(key, "norm", F.inline("kept")).select(
             key, "term", (F.col("w") / F.col("norm")).alias("weight")
         )
 
@@ -102,7 +110,9 @@ def fit_tfidf(
     """
     if max_terms > MAX_TERMS:
         raise ValueError(f"max_terms must not exceed {MAX_TERMS}")
-    rows = df.select(terms(term_tokens(F.col(text)), max_n).alias("t"))
+    rows = compute_once(
+        spread(df.select(text)), {"t": terms(term_tokens(F.col(text)), max_n)}
+    ).select("t")
     marked = rows.select(
         F.explode(
             F.concat(

@@ -536,8 +536,8 @@ def dossiers_full(spark, sf):
 
 @query
 def evidence_array(spark, sf):
-    df = scored(spark, sf)
-    return (df.select(F.explode(D.evidence_array(CPU)).alias("e"))
+    df = X.compute_once(scored(spark, sf), {"items": D.evidence_array(CPU)})
+    return (df.select(F.explode("items").alias("e"))
             .groupBy(F.col("e.signal").alias("signal"), F.col("e.weight").alias("weight"))
             .agg(F.count(F.lit(1)).alias("n")))
 
