@@ -192,3 +192,18 @@ def test_filters_do_not_copy_the_rule_expression(spark, sf_dir):
     """A filter on a computed level must stay above the scoring."""
     plan = labelled(spark, sf_dir).filter("severity_rules > 2")._jdf.queryExecution()
     assert plan.optimizedPlan().toString().count("array_intersect") == 1
+
+
+def test_train_and_predict_end_to_end(spark, sf_dir):
+    from triagelens.sources.views import tickets
+
+    raw = tickets(spark, sf_dir)
+    signals, model, _ = P.train(
+        raw, CPU,
+        {"resolution_args": {"max_iter": 2, "max_depth": 2, "max_terms": 20},
+         "cluster_args": {"restarts": 1, "max_iter": 5}},
+        {"trees": 2, "max_depth": 3, "max_terms": 20})
+    scored, dossiers = P.predict(raw, CPU, signals, model)
+    levels = scored.select("severity_resolution", "severity_cluster", "severity_fused").distinct()
+    assert all(1 <= v <= 4 for r in levels.collect() for v in r)
+    assert dossiers.count() == scored.filter("mismatch_pred = 1").count()
