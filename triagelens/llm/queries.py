@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from triagelens.llm import mixing, quality_rules
+import public_tokenizers
+
+from triagelens.llm import bpe, fingerprints, mixing, quality_rules
 from triagelens.llm.common import table
 
 
+def vocabulary() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_bpe(spark, sf_dir):
+    return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -14,5 +28,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op8_quality_rules, op10_mixing)}
 SQL = {"op8_quality_rules": quality_rules.SQL, "op10_mixing": mixing.SQL}
