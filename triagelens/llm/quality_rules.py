@@ -93,13 +93,11 @@ def host_verdicts(judged: DataFrame, host: str = "source") -> DataFrame:
         F.sum(F.col("own_failed").cast("long")).alias("host_failed"))
     hosts = stored(hosts, "hosts")
     rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    m, v = F.col("m"), F.col("v")
-    prior = prior.select("m", F.when((v > 0) & (v < m * (1 - m)), m * (1 - m) / v - 1)
-                         .otherwise(EVEN_PRIOR).alias("s"))  # one row, whatever the input
-    shrunk = (F.col("host_failed") + m * F.col("s")) / (F.col("host_docs") + F.col("s"))
-    return (hosts.join(F.broadcast(prior), F.lit(True))
-            .select("host", "host_docs", "host_failed", shrunk.alias("host_rate"))
+    moments = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()  # one row
+    m, v = moments["m"] or 0.0, moments["v"] or 0.0
+    strength = m * (1 - m) / v - 1 if 0 < v < m * (1 - m) else EVEN_PRIOR
+    shrunk = (F.col("host_failed") + m * strength) / (F.col("host_docs") + strength)
+    return (hosts.select("host", "host_docs", "host_failed", shrunk.alias("host_rate"))
             .withColumn("host_bad", F.col("host_rate") > MAX_HOST_RATE))
 
 

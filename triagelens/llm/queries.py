@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from triagelens.llm import bpe, fingerprints, mixing, quality_rules
+from triagelens.llm import bpe, fingerprints, license_scan, mixing, quality_rules, secret_scan
 from triagelens.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op2_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_license_scan(spark, sf_dir):
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark, sf_dir):
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -28,5 +36,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op8_quality_rules, op10_mixing)}
-SQL = {"op8_quality_rules": quality_rules.SQL, "op10_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_license_scan, op7_secret_scan, op8_quality_rules, op10_mixing)}
+SQL = {"op3_license_scan": license_scan.SQL, "op7_secret_scan": secret_scan.SQL, "op8_quality_rules": quality_rules.SQL, "op10_mixing": mixing.SQL}
