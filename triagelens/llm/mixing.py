@@ -26,8 +26,9 @@ from triagelens.llm.common import stored, whole, words
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often than this.
 MOST = 3
-#: Rows of one source that are put into one range of keys.
-RANGE_ROWS = 50_000
+#: A source of n documents is cut into sqrt(n) / RANGE_SHARE ranges of keys: their number
+#: and their rows both grow slowly.
+RANGE_SHARE = 4
 
 
 def sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -75,7 +76,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     goals = stored(targets(sizes), "targets")
     g = goals.select(F.col("source").alias("_source"), "source_size", "source_docs", "target")
     d = base.join(g, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    ranges = F.ceil(F.col("source_docs") / RANGE_ROWS)
+    ranges = F.ceil(F.sqrt("source_docs") / RANGE_SHARE)
     d = d.withColumn("range", F.least(F.floor((1 - F.col("draw")) * ranges), ranges - 1))
     in_range = (Window.partitionBy("source", "range")
                 .orderBy(F.col("draw").desc(), "doc_id", "size")
