@@ -27,32 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelens.llm.common import whole
+from triagelens.llm.hashing import AT_ONCE, GEAR, in_groups, range_digests
 
 SMALLEST, NORMAL, LARGEST = 16, 32, 127
 STRICT_BITS, LOOSE_BITS = 6, 4
 WINDOW = 32
-#: Bytes of text that are chunked at once; a longer text is taken alone.
-AT_ONCE = 1 << 21
 #: Ranges of ids for each shuffle partition.
 RANGES_PER_PARTITION = 4
 
-_RANDOM = np.random.default_rng(20240229)
-GEAR = _RANDOM.integers(0, 1 << 32, 256, dtype=np.uint32)
-GEAR[0] = 0  # the gap between two texts leaves no trace in the hash
-LETTER = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15 | 1
-BACK = pow(BASE, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 def gear(data: np.ndarray) -> np.ndarray:
     """Gear hash of the 32 bytes that end at each position: five doublings of the window."""
-    h, width = GEAR[data], 1
+    h, width = np.where(data == 0, np.uint32(0), GEAR[data]), 1  # gaps leave no trace
     while width < WINDOW:
         longer = h.copy()
         longer[width:] += h[:-width] << np.uint32(width)
@@ -60,14 +45,6 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xA0761D6478BD642F)
-    return x ^ (x >> np.uint64(32))
-
-
 def ends_after(data: np.ndarray) -> memoryview:
     """For every position, where a chunk that starts there ends."""
     n, h = len(data), gear(data)
@@ -86,16 +63,7 @@ def ends_after(data: np.ndarray) -> memoryview:
 
 def chunk_sets(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each text the sorted chunk digests (48 bits) and the lengths of the chunks."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    group: list[bytes] = []
-    held = 0
-    for text in texts:
-        if group and held + len(text) > AT_ONCE:
-            out += _chunk_sets(group)
-            group, held = [], 0
-        group.append(text)
-        held += len(text)
-    return out + (_chunk_sets(group) if group else [])
+    return [found for group in in_groups(texts) for found in _chunk_sets(group)]
 
 
 def _chunk_sets(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -118,10 +86,7 @@ def _chunk_sets(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         counts.append(len(starts) - before)
         at = stop + WINDOW
     a, b = np.array(starts, dtype=np.int64), np.array(stops, dtype=np.int64)
-    # polynomial digests from running sums, moved back to position 0
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(LETTER[data] * powers(BASE, len(data)), out=sums[1:])
-    digests = mixed((sums[b] - sums[a]) * powers(BACK, len(data))[a] + (b - a).astype(np.uint64))
+    digests = range_digests(data, a, b)
     digests >>= np.uint64(16)
     out, i = [], 0
     for n in counts:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from triagelens.llm import bpe, fingerprints, license_scan, mixing, quality_rules, secret_scan
+from triagelens.llm import bpe, fingerprints, jaccard_join, license_scan, mixing, quality_rules, secret_scan
 from triagelens.llm.common import table
 
 
@@ -32,9 +32,13 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_license_scan, op7_secret_scan, op8_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_license_scan, op7_secret_scan, op8_quality_rules, op9_jaccard_join, op10_mixing)}
 SQL = {"op3_license_scan": license_scan.SQL, "op7_secret_scan": secret_scan.SQL, "op8_quality_rules": quality_rules.SQL, "op10_mixing": mixing.SQL}
