@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from triagelens.llm import bpe, fingerprints, jaccard_join, license_scan, mixing, quality_rules, secret_scan
+from triagelens.llm import bpe, fingerprints, jaccard_join, license_scan, mixing, quality_rules, secret_scan, suffix_dedup
 from triagelens.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_license_scan(spark, sf_dir):
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark, sf_dir):
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_license_scan, op7_secret_scan, op8_quality_rules, op9_jaccard_join, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_license_scan, op4_suffix_dedup, op7_secret_scan, op8_quality_rules, op9_jaccard_join, op10_mixing)}
 SQL = {"op3_license_scan": license_scan.SQL, "op7_secret_scan": secret_scan.SQL, "op8_quality_rules": quality_rules.SQL, "op10_mixing": mixing.SQL}
