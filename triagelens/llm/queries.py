@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from triagelens.llm import bpe, fingerprints, html_extraction, jaccard_join, license_scan, mixing, quality_rules, secret_scan, suffix_dedup
+from triagelens.llm import bpe, fingerprints, html_extraction, jaccard_join, license_scan, mixing, quality_model, quality_rules, secret_scan, suffix_dedup
 from triagelens.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_html_extraction(spark, sf_dir):
     return html_extraction.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op6_quality_model(spark, sf_dir):
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark, sf_dir):
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_license_scan, op4_suffix_dedup, op5_html_extraction, op7_secret_scan, op8_quality_rules, op9_jaccard_join, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_license_scan, op4_suffix_dedup, op5_html_extraction, op6_quality_model, op7_secret_scan, op8_quality_rules, op9_jaccard_join, op10_mixing)}
 SQL = {"op3_license_scan": license_scan.SQL, "op7_secret_scan": secret_scan.SQL, "op8_quality_rules": quality_rules.SQL, "op10_mixing": mixing.SQL}
