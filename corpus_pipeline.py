@@ -1,4 +1,60 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+"""From raw documents to token ids: five stages, each on all that its predecessor kept."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from triagelens.llm import bpe, jaccard_join, mixing, quality_rules, secret_scan
+from triagelens.llm.common import stored, table
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules, or whose host does, go."""
+    return quality_rules.drop_rejected(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays, the one with the smallest id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every reported secret is replaced in its text."""
+    return counted(secret_scan.redacted(docs))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out until the sources have their target weights."""
+    return counted(mixing.mixed_documents(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, as little-endian 32-bit integers."""
+    found = bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids")
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality), ("near duplicates", near_duplicates), ("secret scans", secrets),
+    ("mixing", mixture), ("tokens", tokens),
+]
+#: Merges by rank cannot be written in SQL; tests compare the pipeline with plain Python.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table, each written before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -36,13 +36,13 @@ def sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     t = whole(F.col(text))
     symbols = F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))
     size = F.size(words(F.col(text))).cast("long")
-    found = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"),
+    found = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(t).alias("digest"),
                         F.inline(F.array(F.struct(size.alias("size"), symbols.alias("symbols")))))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     uniform = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
     # key u ** (1 / quality), with quality 1 / (1 + symbols per word)
     worth = 1 + F.col("symbols") / F.greatest("size", F.lit(1))
-    return found.select("doc_id", "source", "size", F.pow(uniform, worth).alias("draw"))
+    return found.select("doc_id", "source", "digest", "size", F.pow(uniform, worth).alias("draw"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -70,7 +70,13 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
-    base = stored(sized(docs, key, text, source), "sized")
+    return shares(sized(docs, key, text, source).drop("digest"))
+
+
+def shares(rows: DataFrame) -> DataFrame:
+    """What the mix takes of sized rows (doc_id, source, size, draw); other columns stay."""
+    base = stored(rows, "sized")
+    more = [c for c in base.columns if c not in ("doc_id", "source", "size", "draw")]
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"),
                                        F.count(F.lit(1)).alias("source_docs"))
     goals = stored(targets(sizes), "targets")
@@ -92,20 +98,21 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     epochs = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(0).cast("long")
     rest = want - epochs * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("ahead") - F.col("inside"), F.lit(0)), F.col("size"))
-    return d.select("doc_id", "size", "source_size", "target",
+    return d.select("doc_id", *more, "size", "source_size", "target",
                     (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     source: str = "source") -> DataFrame:
     """The mix itself: documents repeated once per epoch, and the partly taken document
-    of a source cut to the words it gives (joined by one blank).  Columns as in ``docs``."""
+    of a source cut to the words it gives (joined by one blank).  Columns as in ``docs``.
+    Rows that repeat both id and text are one document of the mix and share its fate."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.col(key).alias("_id"), F.struct(*columns).alias("_row"))
-    # rows of one id are told apart by nothing, so an id is mixed once and joined to all its rows
-    taken = mix(docs.select(key, text, source).dropDuplicates([key]), key, text, source)
-    taken = taken.filter("taken > 0").select("doc_id", "size", "taken")
-    found = rows.join(taken, F.col("_id").eqNullSafe(F.col("doc_id")))
+    rows = docs.select(F.col(key).alias("_id"), F.xxhash64(whole(F.col(text))).alias("_digest"),
+                       F.struct(*columns).alias("_row"))
+    taken = shares(sized(docs, key, text, source).dropDuplicates(["doc_id", "digest"]))
+    taken = taken.filter("taken > 0").select("doc_id", "digest", "size", "taken")
+    found = rows.join(taken, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest")))
     whole_copies = F.floor(F.col("taken") / F.col("size")).cast("int")
     part = (F.col("taken") % F.col("size")).cast("int")
     found = found.select("_row", F.explode(F.concat(
