@@ -1,0 +1,71 @@
+"""Plain Python versions of the operators, straight from their definitions."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+BLANK_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sha(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def edits(docs: list[tuple[int, str]]) -> dict[int, str]:
+    ordered = sorted(docs, reverse=True)
+    texts = [t or "" for _, t in ordered]
+    out = {}
+    for i, (doc, _) in enumerate(ordered):
+        own, following = texts[i], texts[(i + 1) % len(texts)]
+        n = len(own) // 3
+        out[doc] = own[:len(own) - n] + following[:n]
+    return out
+
+
+def repeats(texts: list[bytes], least: int) -> list[tuple[int, int, int, str]]:
+    seen = Counter(t[i:i + least] for t in texts for i in range(len(t) - least + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - least + 1):
+            if seen[t[i:i + least]] > 1:
+                gone[i:i + least] = b"\1" * least
+        runs = sum(1 for i, x in enumerate(gone) if x and not (i and gone[i - 1]))
+        out.append((len(t), sum(gone), runs, sha(bytes(x for x, y in zip(t, gone, strict=True) if not y))))
+    return out
+
+
+def shingles(text: str | None) -> frozenset:
+    w = BLANK_WORD.findall((text or "").translate(LOWER))
+    if len(w) < 5:
+        return frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+
+
+def groups(docs: list[tuple[int, str]]) -> dict[int, tuple[int, int]]:
+    """doc_id: (set size, smallest linked id)."""
+    sets = {d: shingles(t) for d, t in docs}
+    holders = defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            holders[x].append(d)
+    common: Counter = Counter()
+    for ids in holders.values():
+        for i, a in enumerate(ids):
+            for b in ids[i + 1:]:
+                common[a, b] += 1
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, b), n in common.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), root(d)) for d in sets}

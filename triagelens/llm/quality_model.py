@@ -161,7 +161,8 @@ def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Network:
     if not 0 < share < 1:
         net.outer_bias = 0.0 if not len(y) else (20.0 if share == 1 else -20.0)
         return net
-    a, b = (x[~held], y[~held]) if 0 < y[~held].mean() < 1 else (x, y)
+    free = y[~held]
+    a, b = (x[~held], free) if len(free) and 0 < free.mean() < 1 else (x, y)
     net.mean, net.scale = a.mean(axis=0), a.std(axis=0) + 1e-3
     net.inner = rng.normal(0, 1 / np.sqrt(x.shape[1]), net.inner.shape)
     net.outer = rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN)
