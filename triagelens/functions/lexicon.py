@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from triagelens import constants as K
-from triagelens.functions.text import NON_WORD_RUN, contains_count, literal_map
+from triagelens.functions.text import NON_WORD_RUN, contains_count, literal_map, strip
 from triagelens.profiles import RuleProfile
 
 
@@ -135,7 +135,7 @@ def raw_score(hits: Column, text: Column, channel: Column, profile: RuleProfile)
 
 
 def channel_multiplier(channel: Column, profile: RuleProfile) -> Column:
-    return F.coalesce(literal_map(profile.channel_weight)[F.trim(F.lower(channel))], F.lit(1.0))
+    return F.coalesce(literal_map(profile.channel_weight)[F.lower(strip(channel))], F.lit(1.0))
 
 
 def severity_from_score(

@@ -45,12 +45,15 @@ def time_bin(hours: Column) -> Column:
     return out.otherwise(K.TIME_BINS[-1])
 
 
-def model_text() -> Column:
+def model_text(subject_chars: int | None = 200, description_chars: int | None = 600) -> Column:
     """Text a language model is trained on: subject, description, metadata tokens.
-    The cuts are those of the model input."""
+    The cuts are those of the model input; None keeps the whole text."""
+    def part(name: str, chars: int | None) -> Column:
+        return F.col(name) if chars is None else F.substring(name, 1, chars)
+
     return F.concat(
-        F.substring("ticket_subject", 1, 200), F.lit(" "),
-        F.substring("ticket_description", 1, 600),
+        part("ticket_subject", subject_chars), F.lit(" "),
+        part("ticket_description", description_chars),
         F.lit(" channel:"), F.col("ticket_channel"),
         F.lit(" type:"), F.col("ticket_type"),
         F.lit(" time:"), time_bin(F.col("resolution_hours")),
@@ -84,9 +87,10 @@ class FeatureModel:
     numeric: tuple[str, ...] = NUMERIC_FEATURES
 
     def transform(self, df: DataFrame, output: str = "features") -> DataFrame:
-        columns = numeric_features(self.channel.code(), self.ticket_type.code())
+        coded = self.ticket_type.add(self.channel.add(df, "__channel"), "__type")
+        columns = numeric_features(F.col("__channel"), F.col("__type"))
         helpers = {f"__f_{n}": columns[n] for n in self.numeric}
-        wide = self.tfidf.transform(df, "full_text", "__tfidf").withColumns(helpers)
+        wide = self.tfidf.transform(coded, "full_text", "__tfidf").withColumns(helpers).drop("__channel", "__type")
         assembler = VectorAssembler(inputCols=["__tfidf", *helpers], outputCol=output)
         return assembler.transform(wide).drop("__tfidf", *helpers)
 
@@ -150,10 +154,13 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, output: str = "weight") -> DataFrame:
-    """The balanced weights are two numbers, so they join as a literal."""
-    rows = class_weights(df, label).limit(1000).collect()
-    return df.withColumn(
-        output, literal_map({r[label]: r["weight"] for r in rows})[F.col(label)])
+    """Join the weights by label, for any number of classes."""
+    return _weighted(df, class_weights(df, label), label, output)
+
+
+def _weighted(df: DataFrame, weights: DataFrame, label: str, output: str) -> DataFrame:
+    table = weights.select(F.col(label).alias("__class"), F.col("weight").alias(output))
+    return df.join(table, F.col(label).eqNullSafe(F.col("__class")), "left").drop("__class")
 
 
 # -------------------------------------------------------------------- training
@@ -219,13 +226,11 @@ def train_classifier(
     features = fit_features(df, max_terms, without_leak=without_leak)
     split = stratified_split(df, key, label, seed) if exact_split else hash_split(df, key, seed)
     train_only = split.filter(F.col("split") == "train")
-    rows = class_weights(train_only, label).collect()
-    weight = literal_map({r[label]: r["weight"] for r in rows})[F.col(label)]
+    weighted = _weighted(split, class_weights(train_only, label), label, "__weight")
     prepared = (
-        features.transform(split, "__features")
+        features.transform(weighted, "__features")
         .select(
-            "__features", "split", F.col(label).cast("double").alias("__label"),
-            weight.alias("__weight"), (F.col("split") == "validation").alias("__validation"),
+            "__features", "split", F.col(label).cast("double").alias("__label"), "__weight", (F.col("split") == "validation").alias("__validation"),
         )
         .persist()
     )
@@ -267,7 +272,7 @@ class TextClassifier:
     metrics: DataFrame | None = None
 
     def score(self, df: DataFrame, threshold: float = K.DEFAULT_THRESHOLD) -> DataFrame:
-        ready = self.tfidf.transform(df.withColumn("__text", model_text()), "__text", "__features")
+        ready = self.tfidf.transform(df.withColumn("__text", model_text(None, None)), "__text", "__features")
         scored = self.model.transform(ready)
         return (
             scored.withColumn("mismatch_confidence", vector_to_array("probability")[1])
@@ -282,13 +287,12 @@ def train_text_classifier(
     max_iter: int = 50,
 ) -> TextClassifier:
     """Weighted loss; the variant with the best validation macro F1 is kept."""
-    split = hash_split(df.withColumn("__text", model_text()), key, seed)
+    split = hash_split(df.withColumn("__text", model_text(None, None)), key, seed)
     train = split.filter("split = 'train'")
     tfidf = fit_tfidf(train, "__text", max_terms, 2)
-    rows = class_weights(train, label).collect()
-    weight = literal_map({r[label]: r["weight"] for r in rows})[F.col(label)]
-    prepared = tfidf.transform(split, "__text", "__features").select(
-        "__features", "split", F.col(label).cast("int").alias("label"), weight.alias("__weight")
+    weighted = _weighted(split, class_weights(train, label), label, "__weight")
+    prepared = tfidf.transform(weighted, "__text", "__features").select(
+        "__features", "split", F.col(label).cast("int").alias("label"), "__weight"
     ).persist()
     try:
         best, best_f1 = None, -1.0

@@ -6,12 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelens import constants as K
 from triagelens.functions.text import literal_map
-from triagelens.operators.quantiles import exact_quantiles
+from triagelens.operators.quantiles import quantile_table
 from triagelens.profiles import AuditProfile
 
 
@@ -62,22 +62,46 @@ def rank_severity(rank: int, n: int, profile: AuditProfile) -> int:
     return max(1, min(4, level))
 
 
-def rank_clusters(df: DataFrame, profile: AuditProfile, k: int | None = None,
-                  cluster: str = "cluster", hours: str = "resolution_hours",
-                  ) -> dict[int, tuple[float, int]]:
-    """``{cluster: (median hours, severity)}``.
+def cluster_ranking(df: DataFrame, profile: AuditProfile, k: int | None = None,
+                    cluster: str = "cluster", hours: str = "resolution_hours") -> DataFrame:
+    """Table (cluster, median_hours, severity) for any number of clusters.
 
     Clusters without any known hours count as 0.0.  The full audit ranks the clusters
-    that occur, the other all ``k``.  The medians are exact and never gather a cluster.
+    that occur, the other all ``k``.  The medians are exact and never gather a cluster;
+    the order runs over one row per cluster.
     """
-    medians = {key[0]: q[0] for key, q in
-               exact_quantiles(df, hours, (0.5,), (cluster,)).items()}
+    medians = quantile_table(df, hours, (0.5,), (cluster,)).select(
+        F.col(cluster).alias("__c"), F.get("quantiles", F.lit(0)).alias("__m"))
     if profile.name == "full" or k is None:
-        ids = [r[0] for r in df.select(cluster).distinct().limit(10_000).collect()]
+        ids = df.select(F.col(cluster).alias("cluster")).distinct()
     else:
-        ids = list(range(k))
-    order = sorted(((medians.get(i, 0.0), i) for i in ids))
-    return {i: (m, rank_severity(r, len(order), profile)) for r, (m, i) in enumerate(order)}
+        ids = df.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster"))
+    known = ids.join(medians, F.col("cluster").eqNullSafe(F.col("__c")), "left").select(
+        "cluster", F.coalesce("__m", F.lit(0.0)).alias("median_hours"))
+    rank = F.row_number().over(Window.orderBy("median_hours", "cluster")) - 1
+    last = F.greatest(F.count(F.lit(1)).over(Window.partitionBy()) - 1, F.lit(1))
+    place = rank / last * 3
+    level = F.floor(1 + place) if profile.name == "full" else 1 + F.rint(place)
+    return known.select("cluster", "median_hours",
+                        F.least(F.greatest(level, F.lit(1)), F.lit(4)).cast("int").alias("severity"))
+
+
+def with_cluster_severity(df: DataFrame, ranking: DataFrame, cluster: str = "cluster",
+                          output: str = "severity_cluster") -> DataFrame:
+    """Join the ranking table; unknown clusters give 2.  Spark sends the table to the rows
+    while it is small and splits a hot cluster otherwise."""
+    levels = ranking.select(F.col("cluster").alias("__c"), F.col("severity").alias("__s"))
+    joined = df.join(levels, F.col(cluster).eqNullSafe(F.col("__c")), "left")
+    return joined.withColumn(output, F.coalesce("__s", F.lit(K.DEFAULT_LEVEL))).drop("__c", "__s")
+
+
+def rank_clusters(df: DataFrame, profile: AuditProfile, k: int | None = None,
+                  cluster: str = "cluster", hours: str = "resolution_hours",
+                  ) -> dict[int, tuple[float, int]]:
+    """``cluster_ranking`` as ``{cluster: (median hours, severity)}``, for the k clusters of
+    a model."""
+    return {r["cluster"]: (r["median_hours"], r["severity"])
+            for r in cluster_ranking(df, profile, k, cluster, hours).collect()}
 
 
 def cluster_severity(cluster: Column, ranking: dict[int, tuple[float, int]] | None) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from triagelens.functions.text import literal_map
 
-# Up to this many classes the codes are one literal; beyond, they are a table.
-LITERAL_CLASSES = 2_000
+# Up to this many classes the codes are one literal; beyond, they are joined.
+LITERAL_CLASSES = 500
 
 
 def class_codes(df: DataFrame, column: str, missing: str = "Unknown") -> DataFrame:
@@ -41,14 +41,23 @@ class LabelEncoder:
         return F.coalesce(literal_map(codes)[label], F.lit(codes.get(unseen, 0)))
 
 
+    def add(self, df: DataFrame, output: str, unseen: str | None = None) -> DataFrame:
+        """Adds the code as a double, as a literal or, for many classes, by a join whose
+        strategy follows the table's size."""
+        if len(self.classes) <= LITERAL_CLASSES:
+            return df.withColumn(output, self.code(unseen).cast("double"))
+        default = float(self.classes.index(unseen)) if unseen in self.classes else 0.0
+        codes = df.sparkSession.createDataFrame(
+            [(c, float(i)) for i, c in enumerate(self.classes)], "__label string, __code double")
+        label = F.coalesce(F.col(self.column), F.lit(self.missing))
+        joined = df.join(codes, label == F.col("__label"), "left")
+        return joined.withColumn(output, F.coalesce("__code", F.lit(default))).drop("__label", "__code")
+
+
 def fit_label_encoder(df: DataFrame, column: str, missing: str = "Unknown") -> LabelEncoder:
-    """Bounded form: the classes are collected, which is checked."""
-    rows = (
-        df.select(F.coalesce(F.col(column), F.lit(missing)).alias("label")).distinct()
-        .limit(LITERAL_CLASSES + 1).collect()
-    )
-    if len(rows) > LITERAL_CLASSES:
-        raise ValueError(f"{column} has over {LITERAL_CLASSES} labels; use encode_labels")
+    """All classes in order, however many: they are part of the model.  For labels that
+    grow with the rows, ``encode_labels`` keeps them in a table."""
+    rows = df.select(F.coalesce(F.col(column), F.lit(missing)).alias("label")).distinct().collect()
     return LabelEncoder(column, tuple(sorted(r["label"] for r in rows)), missing)
 
 

@@ -13,7 +13,9 @@ from triagelens.functions import text as X
 from triagelens.functions.rounding import fixed, signed_int
 from triagelens.operators.classifier import MismatchClassifier, fallback_confidence, override_type
 from triagelens.operators.fusion import fuse
-from triagelens.operators.normalise import alias_columns, normalise_names
+from triagelens.operators.normalise import (
+    alias_columns, content_digest, normalise_names, with_positions,
+)
 from triagelens.operators.resolution import score_default
 from triagelens.operators.rules import score_rules
 from triagelens.profiles import LIVE, AuditProfile
@@ -32,7 +34,7 @@ def requests(df: DataFrame, profile: AuditProfile = LIVE) -> DataFrame:
     hours = F.col("resolution_hours") if "resolution_hours" in df.columns else F.lit(None)
     columns["resolution_hours"] = F.coalesce(X.nan_to_null(hours.try_cast("double")), F.lit(0.0))
     if "ticket_id" not in df.columns:
-        columns["ticket_id"] = F.lit("LIVE-001")
+        df = live_ids(df)
     df = df.withColumns(columns)
     return df.withColumns(
         {
@@ -45,6 +47,28 @@ def requests(df: DataFrame, profile: AuditProfile = LIVE) -> DataFrame:
     )
 
 
+def live_ids(df: DataFrame) -> DataFrame:
+    """``LIVE-001, LIVE-002, ...`` by position; a stream has no positions and takes the
+    digest of the request."""
+    if df.isStreaming:
+        return df.withColumn("ticket_id", F.concat(F.lit("LIVE-"), content_digest(df)))
+    number = (F.col("__position") + 1).cast("string")
+    padded = F.when(F.length(number) >= 3, number).otherwise(F.lpad(number, 3, "0"))
+    return with_positions(df, "__position").withColumn(
+        "ticket_id", F.concat(F.lit("LIVE-"), padded)).drop("__position")
+
+
+def decided(signals: DataFrame, classifier: MismatchClassifier | None) -> DataFrame:
+    """Flag and confidence, the same for batches and streams.  A classifier was trained
+    with -1 for unknown hours, so hours that are not positive are hidden from it."""
+    if classifier is None:
+        return fallback_confidence(signals, 3.0)
+    known = F.when(F.col("resolution_hours") > 0, F.col("resolution_hours"))
+    return classifier.score(
+        signals.withColumn("__hours", F.col("resolution_hours")).withColumn("resolution_hours", known)
+    ).withColumn("resolution_hours", F.col("__hours")).drop("__hours")
+
+
 def analysis_text() -> Column:
     """One of three texts, by the final mismatch type."""
     kind, delta = F.col("mismatch_type"), signed_int(F.col("severity_delta"))
@@ -117,16 +141,7 @@ def audit_requests(df: DataFrame, profile: AuditProfile = LIVE,
                    classifier: MismatchClassifier | None = None) -> DataFrame:
     """Full live answer for every accepted request."""
     signals = live_signals(requests(df, profile).filter("accepted"), profile)
-    if classifier is None:
-        decided = fallback_confidence(signals, 3.0)
-    else:
-        # The classifier was trained with -1 for unknown hours.
-        known = F.when(F.col("resolution_hours") > 0, F.col("resolution_hours"))
-        decided = classifier.score(
-            signals.withColumn("__hours", F.col("resolution_hours"))
-            .withColumn("resolution_hours", known)
-        ).withColumn("resolution_hours", F.col("__hours")).drop("__hours")
-    return override_type(decided).withColumn("constraint_analysis", analysis_text())
+    return override_type(decided(signals, classifier)).withColumn("constraint_analysis", analysis_text())
 
 
 def live_dossiers(audited: DataFrame) -> DataFrame:

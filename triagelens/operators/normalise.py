@@ -15,12 +15,17 @@ TEXT_COLUMNS = ("ticket_subject", "ticket_description")
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
-    """Trim, lower-case, blanks to underscores.  Metadata only, no job."""
-    return df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
+    """Trim, lower-case, blanks to underscores; of columns that become equal the first
+    stays.  Metadata only, no job."""
+    names = [c.strip().lower().replace(" ", "_") for c in df.columns]
+    later = [i for i, n in enumerate(names) if n in names[:i]]
+    unique = [f"__later_{i}" if i in later else n for i, n in enumerate(names)]
+    return df.toDF(*unique).drop(*[f"__later_{i}" for i in later])
 
 
 def alias_columns(df: DataFrame, profile: AuditProfile) -> DataFrame:
-    """Rename the first present source of every target; other sources are dropped."""
+    """Rename the first present source of every target; other sources are dropped, and so
+    is a column that already bears the target's name without being its source."""
     renames, dropped = {}, []
     for target, sources in profile.aliases.items():
         present = [s for s in sources if s in df.columns]
@@ -28,6 +33,7 @@ def alias_columns(df: DataFrame, profile: AuditProfile) -> DataFrame:
             continue
         if present[0] != target:
             renames[present[0]] = target
+            dropped += [target]
         dropped += present[1:]
     return df.drop(*dropped).withColumnsRenamed(renames)
 
@@ -76,12 +82,12 @@ def with_positions(df: DataFrame, column: str, stable: bool = True) -> DataFrame
     )
 
 
-def with_row_ids(df: DataFrame, width: int, column: str = "ticket_id") -> DataFrame:
-    """``T00000, T00001, ...`` by row position of a file scan."""
+def with_row_ids(df: DataFrame, width: int, column: str = "ticket_id", stable: bool = True) -> DataFrame:
+    """``T00000, T00001, ...`` by row position; ``stable`` as in ``with_positions``."""
     digits = F.col("__position").cast("string")
     padded = F.when(F.length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0"))
     return (
-        with_positions(df, "__position")
+        with_positions(df, "__position", stable)
         .withColumn(column, F.concat(F.lit("T"), padded))
         .drop("__position")
     )
@@ -89,9 +95,13 @@ def with_row_ids(df: DataFrame, width: int, column: str = "ticket_id") -> DataFr
 
 def with_content_ids(df: DataFrame, column: str = "ticket_id") -> DataFrame:
     """Ids from the row's content: stable under any partitioning, no extra job.
-    Identical rows get identical ids."""
+    Identical rows get identical ids, so batch tables use positions instead."""
+    return df.withColumn(column, F.concat(F.lit("T"), content_digest(df)))
+
+
+def content_digest(df: DataFrame) -> Column:
     parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in df.columns]
-    return df.withColumn(column, F.concat(F.lit("T"), F.md5(F.concat_ws("\u001f", *parts))))
+    return F.md5(F.concat_ws("\u001f", *parts))
 
 
 def _hours(df: DataFrame) -> Column:
@@ -109,14 +119,16 @@ def _filled(df: DataFrame, column: str, default: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(default))
 
 
-def prepare(df: DataFrame, profile: AuditProfile, ids: str = "content") -> DataFrame:
+def prepare(df: DataFrame, profile: AuditProfile, ids: str = "position") -> DataFrame:
     """All derived columns; ``priority_numeric`` is NULL for unknown priorities.
 
-    ``ids``: how a missing ``ticket_id`` is made, ``content`` or ``position``.
+    ``ids``: how a missing ``ticket_id`` is made, ``position`` (of a file scan; rows that a
+    second computation may deal out differently need ``shuffled``) or ``content``.
     """
     df = check_columns(alias_columns(normalise_names(df), profile))
     if "ticket_id" not in df.columns:
-        df = with_row_ids(df, profile.id_width) if ids == "position" else with_content_ids(df)
+        df = (with_content_ids(df) if ids == "content"
+              else with_row_ids(df, profile.id_width, stable=ids == "position"))
     filled = {c: _filled(df, c, d) for c, d in K.FILL_DEFAULTS.items()}
     for c in TEXT_COLUMNS:
         filled[c] = X.clean_text(filled[c])
@@ -133,7 +145,7 @@ def prepare(df: DataFrame, profile: AuditProfile, ids: str = "content") -> DataF
     )
 
 
-def normalise(df: DataFrame, profile: AuditProfile, ids: str = "content") -> DataFrame:
+def normalise(df: DataFrame, profile: AuditProfile, ids: str = "position") -> DataFrame:
     """Canonical tickets; rows with an unrecognised priority are dropped."""
     return prepare(df, profile, ids).filter(F.col("priority_numeric").isNotNull())
 

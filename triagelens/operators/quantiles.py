@@ -1,156 +1,92 @@
-"""Exact quantiles without gathering a group in one place.
+"""Exact quantiles in two passes, without gathering a group or sorting it in one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one aggregation
-buffer.  Here the wanted ranks are bracketed and the brackets narrowed by counting:
-every round is one grouped aggregation with partial combine that returns a bounded
-number of rows to the driver (groups x open ranks x ``SLICES``), whatever the size or
-skew of the input.  The result is the value an exact sort would give.
+Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer.
+Here one pass brackets the wanted ranks with a sketch of proven rank error.  The second
+pass counts the rows below each bracket and the values inside it; both combine before the
+shuffle, so a hot group or a hot value is a few rows per task.  Only the few values inside
+a bracket are put in order.  The result is the value an exact sort would give, for any
+number of groups, as a table.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 512
-MAX_GROUPS = 10_000
+from triagelens.session import shared_dir
 
+#: The sketch's rank error is at most one part in this many.
+ACCURACY = 2_000
+#: Groups up to this size are counted value by value.
+SMALL = 2_000
 
-@dataclass
-class _Search:
-    """One wanted rank: values in [low, high] are still possible, ``rank`` of them lie
-    below the wanted one."""
 
-    group: tuple
-    wanted: int
-    rank: int
-    low: float
-    high: float
+def _same(left: DataFrame, right: DataFrame, names: dict[str, str]) -> Column:
+    match = F.lit(True)
+    for a, b in names.items():
+        match = match & left[a].eqNullSafe(right[b])
+    return match
 
 
-def _select_ranks(cells: DataFrame, groups: list[str], ranks: dict[tuple, set[int]],
-                  bounds: dict[tuple, tuple[float, float]]) -> dict[tuple[tuple, int], float]:
-    spark = cells.sparkSession
-    found: dict[tuple[tuple, int], float] = {}
-    open_: list[_Search] = []
-    for group, wanted in ranks.items():
-        low, high = bounds[group]
-        for r in wanted:
-            if low == high:
-                found[group, r] = low
-            else:
-                open_.append(_Search(group, r, r, low, high))
-    group_type = ", ".join(f"`{g}` {cells.schema[g].dataType.simpleString()}" for g in groups)
-    while open_:
-        # Equal brackets of one group are counted once.
-        brackets = sorted({(s.group, s.low, s.high) for s in open_}, key=repr)
-        rows = [(*g, i, lo, hi) for i, (g, lo, hi) in enumerate(brackets)]
-        frame = spark.createDataFrame(
-            rows, f"{group_type + ', ' if groups else ''}__b int, __lo double, __hi double"
-        )
-        # Bounded: at most MAX_GROUPS x probabilities x 2 brackets.
-        if groups:
-            match = [cells[g].eqNullSafe(frame[g]) for g in groups]
-            cond = match[0]
-            for m in match[1:]:
-                cond = cond & m
-            joined = cells.join(F.broadcast(frame), cond).select("__v", "__n", "__b", "__lo", "__hi")
-        else:
-            listed = F.array(*[
-                F.struct(F.lit(i).alias("__b"), F.lit(lo).alias("__lo"), F.lit(hi).alias("__hi"))
-                for i, (_, lo, hi) in enumerate(brackets)
-            ])
-            joined = cells.select("__v", "__n", F.inline(listed))
-        inside = joined.filter(F.col("__v").between(F.col("__lo"), F.col("__hi")))
-        width = (F.col("__hi") - F.col("__lo")) / F.lit(float(SLICES))
-        # Both ends are slices of their own: every round makes progress, and infinite
-        # ends leave a finite interior.
-        inner = F.least(F.floor((F.col("__v") - F.col("__lo")) / width), F.lit(SLICES - 1))
-        slice_ = (
-            F.when(F.col("__v") == F.col("__lo"), F.lit(-1))
-            .when(F.col("__v") == F.col("__hi"), F.lit(SLICES))
-            .otherwise(inner)
-        )
-        counted = (
-            inside.groupBy("__b", slice_.alias("__s"))
-            .agg(F.sum("__n").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-            .collect()
-        )
-        per: dict[int, list] = {}
-        for row in counted:
-            per.setdefault(row["__b"], []).append((row["lo"], row["hi"], row["n"]))
-        number = {b: i for i, b in enumerate(brackets)}
-        still = []
-        for s in open_:
-            left = s.rank
-            for lo, hi, n in sorted(per[number[s.group, s.low, s.high]]):
-                if left < n:
-                    if lo == hi:
-                        found[s.group, s.wanted] = lo
-                    else:
-                        still.append(_Search(s.group, s.wanted, left, lo, hi))
-                    break
-                left -= n
-        open_ = still
-    return found
+def quantile_table(df: DataFrame, value: str, probabilities: Sequence[float],
+                   groups: Sequence[str] = ()) -> DataFrame:
+    """Group columns, ``n`` and ``quantiles`` (linear interpolation) of the non-missing values."""
+    groups, spark = list(groups), df.sparkSession
+    present = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(
+        *groups, F.col(value).cast("double").alias("__v"))
+    step = 2.0 / ACCURACY
+    sketch = F.percentile_approx(
+        "__v", [x for p in probabilities for x in (max(p - step, 0.0), min(p + step, 1.0))], ACCURACY)
+    brackets = present.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
+        sketch.alias("__q")).filter("__n > 0")
+    path = shared_dir(spark, "brackets")
+    brackets.write.parquet(path)  # one row per group; later plans know its size
+    renamed = {g: f"__g{i}" for i, g in enumerate(groups)}
+    stored = spark.read.schema(brackets.schema).parquet(path).withColumnsRenamed(renamed)
+    small = F.col("__n") <= SMALL
+    each = stored.select("*", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("__i"), F.lit(float(p)).alias("__p"),
+                 F.when(small, F.col("__min")).otherwise(F.get("__q", F.lit(2 * i))).alias("__lo"),
+                 F.when(small, F.col("__max")).otherwise(F.get("__q", F.lit(2 * i + 1))).alias("__hi"))
+        for i, p in enumerate(probabilities)])))
+    wide = stored.select(*renamed.values(), F.array(*[
+        F.struct(F.lit(i).alias("__i"),
+                 F.when(small, F.col("__min")).otherwise(F.get("__q", F.lit(2 * i))).alias("__lo"),
+                 F.when(small, F.col("__max")).otherwise(F.get("__q", F.lit(2 * i + 1))).alias("__hi"))
+        for i in range(len(probabilities))]).alias("__b"))
+    joined = present.join(wide, _same(present, wide, renamed)).select(
+        *renamed.values(), "__v", F.inline("__b"))
+    # rows above the bracket go, rows below it are one cell
+    cell = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
+    cells = (joined.filter(F.col("__v") <= F.col("__hi"))
+             .groupBy(*renamed.values(), "__i", cell.alias("__cell")).agg(F.count(F.lit(1)).alias("__c")))
+    up_to = (Window.partitionBy(*renamed.values(), "__i").orderBy(F.col("__cell").asc_nulls_first())
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = cells.withColumn("__end", F.sum("__c").over(up_to))
+    keys = {k: f"{k}_" for k in [*renamed.values(), "__i"]}
+    other = each.select(*[F.col(a).alias(b) for a, b in keys.items()], "__n", "__p")
+    spot = F.col("__p") * (F.col("__n") - 1)
+
+    def at(rank: Column) -> Column:
+        inside = (F.col("__end") > rank) & (F.col("__end") - F.col("__c") <= rank)
+        return F.max(F.when(inside, F.col("__cell")))
+
+    found = ranked.join(other, _same(ranked, other, keys)).groupBy(*renamed.values(), "__i", "__n", "__p").agg(
+        at(F.floor(spot)).alias("__low"), at(F.ceil(spot)).alias("__high"))
+    exact = F.when(F.col("__low") == F.col("__high"), F.col("__low")).otherwise(
+        F.col("__low") + (F.col("__high") - F.col("__low")) * (spot - F.floor(spot)))
+    ordered = F.sort_array(F.collect_list(F.struct("__i", exact.alias("__x"))))  # one per probability
+    out = found.groupBy(*renamed.values(), "__n").agg(F.transform(ordered, lambda s: s["__x"]).alias("quantiles"))
+    return out.select(*[F.col(b).alias(a) for a, b in renamed.items()], F.col("__n").alias("n"), "quantiles")
 
 
 def exact_quantiles(
     df: DataFrame, value: str, probabilities: Sequence[float], groups: Sequence[str] = ()
 ) -> dict[tuple, list[float]]:
-    """Linear-interpolated quantiles of the non-missing values per group.
-
-    Returns ``{group key tuple: [quantile, ...]}``; the key is ``()`` without groups.
-    Meant for a bounded number of groups (clusters, labels), which is checked.
-    """
-    groups = list(groups)
-    present = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    # Equal values shrink to one row with a count, so a hot value costs one row.
-    cells = (
-        present.groupBy(*groups, F.col(value).cast("double").alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .persist()
-    )
-    try:
-        summary = (
-            cells.groupBy(*groups)
-            .agg(F.sum("__n").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-            .limit(MAX_GROUPS + 1).collect()
-        )
-        if len(summary) > MAX_GROUPS:
-            raise ValueError(f"more than {MAX_GROUPS} groups in exact_quantiles")
-        ranks, bounds, sizes = {}, {}, {}
-        for row in summary:
-            if row["n"] is None:
-                continue
-            key = tuple(row[g] for g in groups)
-            sizes[key], bounds[key] = row["n"], (row["lo"], row["hi"])
-            spots = [p * (row["n"] - 1) for p in probabilities]
-            ranks[key] = {math.floor(x) for x in spots} | {math.ceil(x) for x in spots}
-        picked = _select_ranks(cells, groups, ranks, bounds)
-    finally:
-        cells.unpersist()
-    out = {}
-    for key, n in sizes.items():
-        values = []
-        for p in probabilities:
-            spot = p * (n - 1)
-            low = picked[key, math.floor(spot)]
-            high = picked[key, math.ceil(spot)]
-            values.append(low + (high - low) * (spot - math.floor(spot)))
-        out[key] = values
-    return out
-
-
-def approximate_quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], accuracy: int = 10_000
-) -> list[float]:
-    """One-pass sketch; the rank error is at most ``1 / accuracy``."""
-    row = df.agg(
-        F.percentile_approx(value, [float(p) for p in probabilities], accuracy).alias("q")
-    ).first()
-    return list(row["q"]) if row["q"] else []
+    """``quantile_table`` as ``{group key tuple: [quantile, ...]}``; the key is ``()``
+    without groups.  For groups that are a model (clusters, labels)."""
+    return {tuple(r[g] for g in groups): list(r["quantiles"])
+            for r in quantile_table(df, value, probabilities, groups).collect()}

@@ -72,13 +72,8 @@ class ResolutionModel:
         unseen = "Unknown" if self.profile_name == "full" else None
         text = F.concat("ticket_subject", F.lit(" "), "ticket_description")
         with_text = self.tfidf.transform(df.withColumn("__text", text), "__text", "__tfidf")
-        numeric = with_text.withColumns(
-            {
-                "__channel": self.channel.code(unseen).cast("double"),
-                "__type": self.ticket_type.code(unseen).cast("double"),
-                "__enterprise": F.col("is_enterprise").cast("double"),
-            }
-        )
+        coded = self.ticket_type.add(self.channel.add(with_text, "__channel", unseen), "__type", unseen)
+        numeric = coded.withColumn("__enterprise", F.col("is_enterprise").cast("double"))
         assembled = VectorAssembler(
             inputCols=["__tfidf", "__channel", "__type", "__enterprise"], outputCol=output
         ).transform(numeric)

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelens.functions.text import WORD, compute_once
-from triagelens.session import spread
 
 # The vocabulary is collected and travels with every task, so it must stay small.
 MAX_TERMS = 100_000
@@ -77,7 +76,7 @@ class TfIdf:
         """Long form ``(key, term, weight)``, non-zero weights only; no shuffle."""
         if not self.vocabulary:
             return df.select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
-        counted = self.counts_vector(spread(df.select(key, text)), text, "__counts")
+        counted = self.counts_vector(df.select(key, text), text, "__counts")
         listed = F.zip_with(
             # Terms hold word characters and blanks only, so quoting is enough.
             F.expr("array(" + ", ".join(f"'{t}'" for t in self.vocabulary) + ")"),
@@ -111,7 +110,7 @@ def fit_tfidf(
     if max_terms > MAX_TERMS:
         raise ValueError(f"max_terms must not exceed {MAX_TERMS}")
     rows = compute_once(
-        spread(df.select(text)), {"t": terms(term_tokens(F.col(text)), max_n)}
+        df.select(text), {"t": terms(term_tokens(F.col(text)), max_n)}
     ).select("t")
     marked = rows.select(
         F.explode(

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from triagelens import constants as K
 from triagelens.functions.lexicon import rule_text
@@ -93,6 +92,7 @@ def heuristic(subject: Column, description: Column) -> Column:
 
 
 def _emit(df: DataFrame, scored: Column) -> DataFrame:
+    """Severity, reason and, where the scorer says it, ``answer_source``."""
     ready = compute_once(df, {"__scored": scored})
     return ready.withColumns(
         {"severity_llm": F.col("__scored.severity"), "llm_reason": F.col("__scored.reason")}
@@ -109,24 +109,27 @@ def score_proxy(df: DataFrame) -> DataFrame:
 
 
 def score_answers(df: DataFrame, answer: Column) -> DataFrame:
-    """Severity and reason from a column of raw answers, heuristic where unusable."""
+    """Severity and reason from a column of raw answers, heuristic where unusable;
+    ``answer_source`` tells which, so a broken model is seen."""
     fallback = heuristic(F.col("ticket_subject"), F.col("ticket_description"))
-    return _emit(df, F.coalesce(parse_answer(answer), fallback))
+    parsed = compute_once(df, {"__parsed": parse_answer(answer)})
+    source = F.when(F.col("__parsed").isNotNull(), "model").otherwise("heuristic")
+    return _emit(parsed.withColumn("answer_source", source),
+                 F.coalesce(F.col("__parsed"), fallback)).drop("__parsed")
 
 
 def score_with(df: DataFrame, make_scorer: Callable[[], Scorer], batch: int = 64) -> DataFrame:
     """Run a user model over all tickets.
 
     ``make_scorer`` is called once per task, so a model is loaded once and then fed
-    Arrow batches.  Answers are parsed, and failed rows replaced, on the JVM side.
+    Arrow batches of prompts alone.  Answers are parsed, and failed rows replaced, on the
+    JVM side.
     """
-    columns = list(df.columns)
-    schema = StructType(list(df.schema.fields)).add("__answer", "string")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = make_scorer()
-        for pdf in batches:
-            prompts = pdf["__prompt"].tolist()
+        for series in batches:
+            prompts = series.tolist()
             answers: list[str | None] = []
             for i in range(0, len(prompts), batch):
                 part = prompts[i : i + batch]
@@ -134,14 +137,11 @@ def score_with(df: DataFrame, make_scorer: Callable[[], Scorer], batch: int = 64
                     answers += scorer(part)
                 except Exception:  # a failing batch falls back row by row below
                     answers += [None] * len(part)
-            yield pdf[columns].assign(__answer=answers)
+            yield pd.Series(answers, dtype=object)
 
-    asked = df.withColumn(
-        "__prompt",
-        prompt(*[F.col(c) for c in
-                 ("ticket_subject", "ticket_description", "ticket_channel", "ticket_type")]),
-    )
-    return score_answers(asked.mapInPandas(run, schema), F.col("__answer")).drop("__answer")
+    asked = df.withColumn("__answer", ask(prompt(*[
+        F.col(c) for c in ("ticket_subject", "ticket_description", "ticket_channel", "ticket_type")])))
+    return score_answers(asked, F.col("__answer")).drop("__answer")
 
 
 def ship_by_value() -> None:

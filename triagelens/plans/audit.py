@@ -21,6 +21,7 @@ from triagelens.operators.resolution import ResolutionModel, fit_resolution, sco
 from triagelens.operators.rules import score_rules
 from triagelens.operators.tfidf import fit_tfidf
 from triagelens.profiles import CPU, AuditProfile
+from triagelens.session import shared_dir
 
 CLUSTER_TERMS = 500
 
@@ -93,13 +94,20 @@ class TextClusters:
 def train(raw: DataFrame, profile: AuditProfile = CPU, signal_args: dict | None = None,
           classifier_args: dict | None = None) -> tuple[Signals, MismatchClassifier, DataFrame]:
     """Raw tickets -> fitted signals, trained classifier, labelled tickets."""
-    tickets = normalise(raw, profile).persist()
+    tickets = stored(normalise(raw, profile), "tickets")
     signals = fit_signals(tickets, profile, **(signal_args or {}))
-    labelled = label_tickets(tickets, profile, signals)
+    labelled = stored(label_tickets(tickets, profile, signals), "labelled")
     classifier = train_classifier(labelled, **(classifier_args or {}))
     return signals, classifier, labelled
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Written once to the shared folder and read back by every later job."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def predict(raw: DataFrame, profile: AuditProfile = CPU, signals: Signals = Signals(),
             classifier: MismatchClassifier | None = None) -> tuple[DataFrame, DataFrame]:
     """Raw tickets -> scored tickets and their dossiers.

@@ -24,7 +24,7 @@ from triagelens.operators import resolution as R
 from triagelens.operators import robustness as B
 from triagelens.operators import zero_shot as Z
 from triagelens.operators.encoding import encode_labels
-from triagelens.operators.quantiles import exact_quantiles
+from triagelens.operators.quantiles import quantile_table
 from triagelens.operators.rules import score_rules
 from triagelens.operators.tfidf import fit_tfidf
 from triagelens.plans import audit as P
@@ -311,7 +311,7 @@ def unit_vectors(spark, sf):
 def nearest_centroid(spark, sf):
     vectors = table(spark, sf, "embeddings")
     centroids = [(r["label"], r["centroid"]) for r in
-                 U.mean_vectors(vectors, "label", "embedding").limit(1000).collect()]
+                 U.mean_vectors(vectors, "label", "embedding").collect()]  # a model: one row per label
     return U.assign_nearest(vectors, "embedding", centroids, "nearest").select(
         "vec_id", "label", "nearest")
 
@@ -326,20 +326,21 @@ def _clustered(spark, sf) -> DataFrame:
 @query
 def cluster_rank(spark, sf):
     df = _clustered(spark, sf)
-    full, cpu = U.rank_clusters(df, FULL), U.rank_clusters(df, CPU, k=12)
-    rows = [("full", i, round(m, DIGITS), s) for i, (m, s) in full.items()]
-    rows += [("cpu", i, round(m, DIGITS), s) for i, (m, s) in cpu.items()]
-    return spark.createDataFrame(
-        rows, "profile string, cluster int, median_hours double, severity int")
+    both = [U.cluster_ranking(df, p, k).select(
+        F.lit(p.name).alias("profile"), F.col("cluster").cast("int").alias("cluster"),
+        _r("median_hours", "median_hours"), "severity") for p, k in ((FULL, None), (CPU, 12))]
+    return both[0].unionByName(both[1])
 
 
 @query
 def cluster_severity(spark, sf):
     df = _clustered(spark, sf)
-    ranking = U.rank_clusters(df, FULL)
-    return df.select(
-        "vec_id", "cluster", U.cluster_severity(F.col("cluster"), ranking).alias("severity"),
-        U.cluster_severity(F.col("cluster") + 1000, ranking).alias("severity_unknown"),
+    ranking = U.cluster_ranking(df, FULL)
+    known = U.with_cluster_severity(df, ranking, output="severity")
+    both = U.with_cluster_severity(known.withColumn("other", F.col("cluster") + 1000), ranking, "other",
+                                   "severity_unknown")
+    return both.select(
+        "vec_id", "cluster", "severity", "severity_unknown",
         U.cluster_severity(F.col("cluster"), None).alias("severity_unfitted"))
 
 
@@ -407,7 +408,8 @@ def numeric_features(spark, sf):
     df = labelled(spark, sf)
     features = C.fit_label_encoder
     channel, kind = features(df, "ticket_channel"), features(df, "ticket_type")
-    columns = C.numeric_features(channel.code(), kind.code())
+    df = kind.add(channel.add(df, "__channel"), "__type")
+    columns = C.numeric_features(F.col("__channel"), F.col("__type"))
     return df.select("ticket_id", *[_r(c, n) for n, c in columns.items()])
 
 
@@ -826,7 +828,6 @@ def score_all(spark, sf):
 @query
 def value_quantiles(spark, sf):
     """Exact quantiles per event type."""
-    q = exact_quantiles(table(spark, sf, "events"), "value", (0.1, 0.5, 0.9), ("event_type",))
-    return spark.createDataFrame(
-        [(k[0], *[round(x, DIGITS) for x in v]) for k, v in q.items()],
-        "event_type string, p10 double, p50 double, p90 double")
+    q = quantile_table(table(spark, sf, "events"), "value", (0.1, 0.5, 0.9), ("event_type",))
+    return q.select("event_type", *[
+        _r(F.get("quantiles", F.lit(i)), name) for i, name in enumerate(("p10", "p50", "p90"))])

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from triagelens.operators.classifier import MismatchClassifier, fallback_confidence, override_type
-from triagelens.operators.live import analysis_text, live_signals, requests
+from triagelens.operators.classifier import MismatchClassifier, override_type
+from triagelens.operators.live import analysis_text, decided, live_signals, requests
 from triagelens.profiles import LIVE, AuditProfile
 
 AUDITED, REJECTED = "audited", "rejected"
@@ -29,8 +29,7 @@ def audit_stream(df: DataFrame, profile: AuditProfile = LIVE,
     """Live answers for a batch or a stream; ``outcome`` tells audited from rejected
     requests (empty subject or description)."""
     signals = live_signals(requests(df, profile), profile)
-    decided = classifier.score(signals) if classifier else fallback_confidence(signals, 3.0)
-    answered = override_type(decided).withColumn("constraint_analysis", analysis_text())
+    answered = override_type(decided(signals, classifier)).withColumn("constraint_analysis", analysis_text())
     outcome = F.when(F.col("accepted"), AUDITED).otherwise(REJECTED)
     return answered.withColumn("outcome", outcome).select(*OUTPUT)
 

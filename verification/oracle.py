@@ -123,7 +123,7 @@ def rules(profile: AuditProfile, source: str = "n", name: str = "r") -> str:
         f"list(phrase ORDER BY ord) FILTER (tier = '{t}' AND NOT neg) AS c_{t}, "
         f"list(phrase ORDER BY ord) FILTER (tier = '{t}' AND neg) AS x_{t}" for t in p.tiers)
     boost = " + ".join(f"contains(text, {q(w)})::INT" for w in p.intensifiers)
-    weight = case("lower(trim(ticket_channel))", p.channel_weight, "1e0", value=num)
+    weight = case(f"lower({strip('ticket_channel')})", p.channel_weight, "1e0", value=num)
 
     def parts(spec, letter):
         heads = []
