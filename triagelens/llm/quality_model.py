@@ -158,7 +158,7 @@ def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Network:
     net = Network(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros((x.shape[1], HIDDEN)), np.zeros(HIDDEN),
                   np.zeros(HIDDEN), 0.0)
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         net.outer_bias = 0.0 if not len(y) else (20.0 if share == 1 else -20.0)
         return net
     free = y[~held]
