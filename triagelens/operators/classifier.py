@@ -196,9 +196,12 @@ class MismatchClassifier:
             "channel": self.features.channel.classes,
             "ticket_type": self.features.ticket_type.classes,
             "numeric": self.features.numeric,
+            "measured": self.metrics is not None,
         }
         spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode(
             "overwrite").parquet(f"{path}/state")
+        if self.metrics is not None:
+            self.metrics.write.mode("overwrite").parquet(f"{path}/metrics")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> MismatchClassifier:
@@ -211,7 +214,8 @@ class MismatchClassifier:
             tuple(state["numeric"]),
         )
         return MismatchClassifier(
-            features, kinds[state["kind"]].load(f"{path}/model"), state["threshold"])
+            features, kinds[state["kind"]].load(f"{path}/model"), state["threshold"],
+            spark.read.parquet(f"{path}/metrics") if state["measured"] else None)
 
 
 def train_classifier(

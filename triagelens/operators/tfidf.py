@@ -77,17 +77,15 @@ class TfIdf:
         if not self.vocabulary:
             return df.select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
         counted = self.counts_vector(df.select(key, text), text, "__counts")
-        listed = F.zip_with(
-            # Terms hold word characters and blanks only, so quoting is enough.
-            F.expr("array(" + ", ".join(f"'{t}'" for t in self.vocabulary) + ")"),
-            self._weights(F.col("__counts")),
-            lambda t, w: F.struct(t.alias("term"), w.alias("w")),
-        )
+        own = F.unwrap_udt("__counts")  # indices and counts of the row's own terms
+        # Terms hold word characters and blanks only, so quoting is enough.
+        names = F.expr("array(" + ", ".join(f"'{t}'" for t in self.vocabulary) + ")")
+        idf = F.expr("array(" + ", ".join(f"{x!r}D" for x in self.idf) + ")")
+        listed = F.zip_with(own["indices"], own["values"], lambda i, tf: F.struct(
+            F.get(names, i).alias("term"), ((F.lit(1.0) + F.log(tf)) * F.get(idf, i)).alias("w")))
         # Once per row: the generator below adds a filter on its input, which would
         # otherwise be evaluated again underneath.
-        kept = compute_once(
-            counted.select(key, "__counts"), {"kept": F.filter(listed, lambda x: x["w"] > 0)}
-        ).select(key, "kept")
+        kept = compute_once(counted.select(key, "__counts"), {"kept": listed}).select(key, "kept")
         total = F.aggregate("kept", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
         # The norm is a column of its own below the generator, else every exploded row
         # would compute it again.
