@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triagelens import constants as K
 from triagelens.functions.rounding import fixed
+from triagelens.session import shared_dir
 
 LEVELS = tuple(K.LEVEL_LABEL.values())
 
@@ -63,24 +64,36 @@ def assigned_vs_inferred(df: DataFrame) -> DataFrame:
     ])))
 
 
+#: Cells that a filled heatmap may have; a larger report is read as its cells.
+MAX_GRID = 1_000_000
+
+
+def heatmap_cells(df: DataFrame) -> DataFrame:
+    """Mean delta per type and channel, for any number of either."""
+    cells = df.groupBy("ticket_type", "ticket_channel").agg(F.avg("severity_delta").alias("mean_delta"))
+    return cells.withColumn("label", fixed(F.col("mean_delta"), 2, plus=True))
+
+
 def delta_heatmap(df: DataFrame) -> DataFrame:
-    """Mean delta per type and channel; empty cells are 0.
+    """``heatmap_cells`` with empty cells as 0.
 
-    The tickets shrink to one cell per (type, channel) first.  Only the cells, which are
-    the report itself, are then regrouped to fill the gaps; the tickets are read once.
+    The cells are written once; their two lists of names span the grid, whose size is
+    checked before it is filled.
     """
-    cells = df.groupBy("ticket_type", "ticket_channel").agg(
-        F.avg("severity_delta").alias("mean_delta"))
-    table = cells.agg(
-        F.collect_set("ticket_type").alias("types"),
-        F.collect_set("ticket_channel").alias("channels"),
-        F.map_from_entries(F.collect_list(F.struct(
-            F.struct("ticket_type", "ticket_channel"), "mean_delta"))).alias("m"))
-    grid = table.select("m", "channels", F.explode("types").alias("ticket_type")).select(
-        "m", "ticket_type", F.explode("channels").alias("ticket_channel"))
-    mean = F.coalesce(F.col("m")[F.struct("ticket_type", "ticket_channel")], F.lit(0.0))
-    return grid.select("ticket_type", "ticket_channel", mean.alias("mean_delta"),
-                       fixed(mean, 2, plus=True).alias("label"))
+    path = shared_dir(df.sparkSession, "heatmap")
+    df.groupBy("ticket_type", "ticket_channel").agg(
+        F.avg("severity_delta").alias("mean_delta")).write.parquet(path)
+    cells = df.sparkSession.read.parquet(path)
+    size = cells.agg(F.count_distinct("ticket_type").alias("t"), F.count_distinct("ticket_channel").alias("c")).first()
+    if size["t"] * size["c"] > MAX_GRID:
+        raise ValueError(f"{size['t']} types x {size['c']} channels; use heatmap_cells")
+    channels = [r[0] for r in cells.select("ticket_channel").distinct().collect()]
+    grid = cells.select("ticket_type").distinct().withColumn(
+        "ticket_channel", F.explode(F.array(*[F.lit(c) for c in channels]).cast("array<string>")))
+    filled = grid.join(cells, ["ticket_type", "ticket_channel"], "left")
+    mean = F.coalesce("mean_delta", F.lit(0.0))
+    return filled.select("ticket_type", "ticket_channel", mean.alias("mean_delta"),
+                         fixed(mean, 2, plus=True).alias("label"))
 
 
 def confidence_histogram(df: DataFrame, bins: int = 20, by: str | None = None) -> DataFrame:

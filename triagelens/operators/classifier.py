@@ -24,6 +24,7 @@ from triagelens.operators import metrics as M
 from triagelens.operators.encoding import LabelEncoder, fit_label_encoder
 from triagelens.operators.quantiles import exact_quantiles
 from triagelens.operators.tfidf import TfIdf, fit_tfidf
+from triagelens.session import keep_lineage_short
 
 NUMERIC_FEATURES = (
     "severity_resolution", "severity_rules", "severity_cluster", "severity_fused",
@@ -239,6 +240,7 @@ def train_classifier(
         .persist()
     )
     try:
+        keep_lineage_short(df.sparkSession)
         learn = {"featuresCol": "__features", "labelCol": "__label", "weightCol": "__weight",
                  "seed": seed, "maxDepth": max_depth}
         fitting = prepared.filter(F.col("split") != "test")

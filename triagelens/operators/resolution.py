@@ -14,6 +14,7 @@ from triagelens.operators.encoding import LabelEncoder, fit_label_encoder
 from triagelens.operators.quantiles import exact_quantiles
 from triagelens.operators.tfidf import TfIdf, fit_tfidf
 from triagelens.profiles import AuditProfile
+from triagelens.session import keep_lineage_short
 
 
 def severity_from_hours(hours: Column, cutoffs=K.DEFAULT_HOUR_CUTOFFS) -> Column:
@@ -144,5 +145,10 @@ def fit_resolution(
     labelled = model.features(train, "__features").select(
         "__features", F.log1p("resolution_hours").alias("__label")
     )
-    model.regressor = gbt.fit(labelled)
+    keep_lineage_short(df.sparkSession)
+    labelled = labelled.persist()  # boosting reads it once per tree
+    try:
+        model.regressor = gbt.fit(labelled)
+    finally:
+        labelled.unpersist()
     return model

@@ -6,6 +6,8 @@ Every entry takes ``(spark, sf_dir)`` and reads whole tables.  Arrays are joined
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from triagelens.operators.quantiles import quantile_table
 from triagelens.operators.rules import score_rules
 from triagelens.operators.tfidf import fit_tfidf
 from triagelens.plans import audit as P
+from triagelens.plans.storage import load_run, save_run
 from triagelens.profiles import CPU, FULL, LIVE, LIVE_FORM, AuditProfile
 from triagelens.session import shared_dir
 from triagelens.sources import tickets as S
@@ -764,65 +767,144 @@ def stream_audit(spark, sf):
 
 
 # ------------------------------------------------------------- fitted models
-# Small models keep these runs short; the library defaults are the full ones.
-_SMALL_REGRESSOR = {"max_iter": 5, "max_depth": 3}
+# Arguments of the registered fits.  Empty: the library's defaults, which are the full
+# sizes.  Tests put smaller ones here.
+FIT_ARGS: dict[str, dict] = {
+    "resolution": {}, "clusters": {}, "classifier": {}, "forest": {"trees": 500}, "text": {}}
+_FITTED: dict[tuple, object] = {}
+
+
+def _fitted(spark: SparkSession, sf: str, part: str, make: Callable[[], object]) -> object:
+    """Fit once per session and table folder; several queries look at one fit."""
+    key = (spark.sparkContext.applicationId, sf, part, repr(FIT_ARGS))
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
+def _run(spark: SparkSession, sf: str) -> tuple[P.Signals, C.MismatchClassifier, DataFrame]:
+    """The whole training run on all tickets: signals, classifier, labelled tickets."""
+    return _fitted(spark, sf, "run", lambda: P.train(
+        tickets(spark, sf), CPU,
+        {"resolution_args": FIT_ARGS["resolution"], "cluster_args": FIT_ARGS["clusters"]},
+        FIT_ARGS["classifier"]))
+
+
+def _all(condition: Column, name: str) -> Column:
+    return F.coalesce(F.min(condition), F.lit(True)).alias(name)
+
+
+def _measured(metrics: DataFrame) -> DataFrame:
+    """Facts that hold for the metrics of any classifier."""
+    parts = [F.col(c).between(0, 1) for c in K.GATE]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every & p
+    return metrics.agg(F.count(F.lit(1)).alias("n"), _all(every, "between_0_and_1"))
 
 
 @query
 def fit_resolution(spark, sf):
-    df = canonical(spark, sf)
-    model = R.fit_resolution(df, CPU, **_SMALL_REGRESSOR)
-    return model.score(df).groupBy("severity_resolution").agg(
-        F.count(F.lit(1)).alias("n"), _r(F.avg("predicted_hours"), "mean_hours", 2))
+    """Every ticket scored; levels follow from the predicted hours and the fitted cut-offs."""
+    signals, _, _ = _run(spark, sf)
+    model = signals.resolution
+    level = R.severity_from_hours(F.col("predicted_hours"), model.cutoffs)
+    return model.score(canonical(spark, sf)).agg(
+        F.count("predicted_hours").alias("n_scored"),
+        _all(F.col("severity_resolution").between(1, 4), "levels_in_range"),
+        _all(F.col("severity_resolution") == level, "levels_follow_hours"),
+        *[F.round(F.lit(c), DIGITS).alias(f"cut_{i + 1}") for i, c in enumerate(model.cutoffs)])
 
 
 @query
 def top_features(spark, sf):
-    model = R.fit_resolution(canonical(spark, sf), CPU, **_SMALL_REGRESSOR)
-    return model.top_features()
+    """The 20 most important features: named, ordered, and a share of one in all."""
+    model = _run(spark, sf)[0].resolution
+    top = model.top_features(20)
+    known = spark.createDataFrame([(n,) for n in model.feature_names], "feature string")
+    total = float(model.regressor.featureImportances.toArray().sum())
+    return top.join(known.distinct(), "feature", "left_semi").agg(
+        F.count(F.lit(1)).alias("n"), F.lit(len(model.feature_names)).cast("long").alias("n_features"),
+        _all(F.col("importance").between(0, 1), "between_0_and_1"),
+        F.lit(abs(total - 1) < 1e-6).alias("sum_is_one"))
 
 
 @query
 def fit_clusters(spark, sf):
+    """Severities of the assigned clusters are those of the ranking of these clusters."""
     df = _clustered(spark, sf).join(
-        table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
-    model = U.fit_clusters(df.drop("cluster"), "embedding", CPU, restarts=2, max_iter=50)
-    return model.score(df.drop("cluster")).groupBy("cluster", "severity_cluster").agg(
-        F.count(F.lit(1)).alias("n"))
+        table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").drop("cluster")
+    model = _fitted(spark, sf, "clusters", lambda: U.fit_clusters(df, "embedding", CPU, **FIT_ARGS["clusters"]))
+    assigned = model.score(df)
+    again = U.cluster_ranking(assigned, CPU, model.model.getK())
+    both = U.with_cluster_severity(assigned, again, output="again")
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), _all(F.col("severity_cluster").between(1, 4), "levels_in_range"),
+        _all(F.col("severity_cluster") == F.col("again"), "levels_follow_ranks"))
 
 
-def _train(spark, sf):
-    df = labelled(spark, sf)
-    return df, C.train_classifier(df, trees=5, max_depth=4, max_terms=100)
+@query
+def text_clusters(spark, sf):
+    """The cluster signal over TF-IDF vectors of the tickets' own texts."""
+    model = _run(spark, sf)[0].clusters
+    assigned = model.score(canonical(spark, sf))
+    level = U.cluster_severity(F.col("cluster"), model.inner.ranking)
+    return assigned.agg(
+        F.count(F.lit(1)).alias("n"), _all(F.col("severity_cluster").between(1, 4), "levels_in_range"),
+        _all(F.col("severity_cluster") == level, "levels_follow_ranks"))
 
 
 @query
 def fit_classifier(spark, sf):
-    return _train(spark, sf)[1].metrics
+    return _measured(_run(spark, sf)[1].metrics)
 
 
 @query
 def fit_forest(spark, sf):
-    df = labelled(spark, sf)
-    return C.train_classifier(df, algorithm="forest", trees=10, max_depth=5, max_terms=100,
-                              without_leak=True).metrics
+    return _measured(_fitted(spark, sf, "forest", lambda: C.train_classifier(
+        _run(spark, sf)[2], algorithm="forest", without_leak=True, **FIT_ARGS["forest"])).metrics)
 
 
 @query
 def fit_text_classifier(spark, sf):
-    df = labelled(spark, sf, FULL)
-    return C.train_text_classifier(df, max_terms=200, regularisation=(0.01,), max_iter=10).metrics
+    return _measured(_fitted(spark, sf, "text", lambda: C.train_text_classifier(
+        _run(spark, sf)[2], **FIT_ARGS["text"])).metrics)
+
+
+def _flags(scored: DataFrame, threshold: float) -> list[Column]:
+    confidence = F.col("mismatch_confidence")
+    return [
+        F.count(F.lit(1)).alias("n"), _all(confidence.between(0, 1), "between_0_and_1"),
+        _all((F.col("mismatch_pred") == 1) == (confidence >= threshold), "flags_follow_threshold")]
 
 
 @query
 def score_all(spark, sf):
-    """Train, store, load again, score every ticket."""
-    df, model = _train(spark, sf)
+    """Every ticket scored by the stored and reloaded classifier."""
+    _, model, df = _run(spark, sf)
     path = shared_dir(spark, "classifier")
     model.save(path)
     loaded = C.MismatchClassifier.load(spark, path)
-    return loaded.score(df).groupBy("mismatch", "mismatch_pred").agg(
-        F.count(F.lit(1)).alias("n"), _r(F.avg("mismatch_confidence"), "mean_confidence", 3))
+    scored = loaded.score(df)
+    return scored.agg(*_flags(scored, loaded.threshold))
+
+
+@query
+def train_store_predict(spark, sf):
+    """Train, store, load, predict: the loaded parts give the rows of those in memory."""
+    signals, classifier, _ = _run(spark, sf)
+    path = shared_dir(spark, "run")
+    save_run(spark, signals, classifier, path)
+    kept = ("ticket_id", "severity_resolution", "severity_cluster", "severity_fused", "mismatch_pred",
+            "mismatch_confidence")
+    first, second = (P.predict(tickets(spark, sf), CPU, *parts)[0].select(*kept)
+                     for parts in ((signals, classifier), load_run(spark, path)))
+    other = second.toDF(*[f"{c}_2" for c in kept])
+    same = F.lit(True)
+    for c in kept:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_2"))
+    return first.join(other, F.col("ticket_id") == F.col("ticket_id_2"), "full").agg(
+        F.count(F.lit(1)).alias("n"), _all(same, "equal_rows"))
 
 
 @query
