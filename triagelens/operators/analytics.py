@@ -111,11 +111,11 @@ def confidence_histogram(df: DataFrame, bins: int = 20, by: str | None = None) -
         F.coalesce(F.col("m")[F.col("bin")], F.lit(0)).cast("bigint").alias("n"))
 
 
-def stats_payload(df: DataFrame, metrics: Column | None = None) -> DataFrame:
-    """One JSON row: totals, distributions and the histogram.
+def stats_table(df: DataFrame) -> DataFrame:
+    """Every number of the payload as a row (part, key, n, flagged), for any number of keys.
 
-    One pass groups the tickets by every combination that the payload needs (types x
-    labels x bins, a few thousand cells at most); the parts are folded from the cells.
+    One pass groups the tickets by every combination that occurs; the parts are summed from
+    these cells.  Rows without a value of a part have a NULL key there.
     """
     score = F.col("mismatch_confidence")
     bin_ = F.when(score.between(0, 1), F.least(F.floor(score * 20), F.lit(19)).cast("int"))
@@ -128,7 +128,13 @@ def stats_payload(df: DataFrame, metrics: Column | None = None) -> DataFrame:
                         ("inferred_dist", keys[2]), ("conf_hist", "bin"))
     ])
     long = cells.select("n", "flagged", F.inline(parts))
-    summed = long.groupBy("part", "key").agg(F.sum("n").alias("n"), F.sum("flagged").alias("f"))
+    return long.groupBy("part", "key").agg(F.sum("n").alias("n"), F.sum("flagged").alias("flagged"))
+
+
+def stats_payload(df: DataFrame, metrics: Column | None = None) -> DataFrame:
+    """One JSON row of ``stats_table``, for a page that shows all of it at once."""
+    summed = stats_table(df).withColumnRenamed("flagged", "f")
+
     def entries(part: str) -> Column:
         chosen = F.filter("rows", lambda r: (r["part"] == part) & r["key"].isNotNull())
         return F.array_sort(F.transform(

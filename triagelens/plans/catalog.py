@@ -251,7 +251,9 @@ def custom_scorer(spark, sf):
 # --------------------------------------------------------------- resolution
 @query
 def tfidf_weights(spark, sf):
-    docs = table(spark, sf, "documents")
+    # The test table is one split; the caller deals it out, which the operator does not.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    docs = table(spark, sf, "documents").select("doc_id", "text").repartition(parts, "doc_id")
     model = fit_tfidf(docs, "text", FULL.tfidf_terms, FULL.tfidf_min_df)
     return model.weights(docs, "doc_id", "text").select("doc_id", "term", _r("weight", "weight"))
 
@@ -671,6 +673,12 @@ def stats_payload(spark, sf):
         number("$.conf_hist[15].y").alias("bin_15"))
 
 
+@query
+def stats_table(spark, sf):
+    """All numbers of the payload, one per row."""
+    return A.stats_table(scored(spark, sf)).filter("key IS NOT NULL")
+
+
 @query
 def preview(spark, sf):
     return A.preview(tickets(spark, sf)).select(

@@ -668,6 +668,11 @@ put("stats_payload", _CPU, f"""SELECT count(*) AS total, sum(mismatch)::BIGINT A
   count(*) FILTER (mismatch_type = 'Hidden Crisis') AS hidden_crisis, count(*) FILTER (mismatch_type = 'False Alarm') AS false_alarm,
   count(*) FILTER (ticket_priority = 'CRITICAL') AS raw_critical, count(*) FILTER (inferred_severity_label = 'High') AS inferred_high,
   count(*) FILTER ({_hist(20)} = 10) AS bin_10, count(*) FILTER ({_hist(20)} = 15) AS bin_15 FROM f""")
+put("stats_table", _CPU, " UNION ALL ".join(
+    f"SELECT '{part}' AS part, {key} AS key, count(*) AS n, sum(mismatch)::BIGINT AS flagged FROM f "
+    f"WHERE {key} IS NOT NULL GROUP BY 2" for part, key in (
+        ("type_counts", "mismatch_type"), ("priority_dist", "ticket_priority"),
+        ("inferred_dist", "inferred_severity_label"), ("conf_hist", f"({_hist(20)})::VARCHAR"))))
 put("preview", RAW, """SELECT ticket_id, ticket_subject, ticket_description, ticket_priority AS priority_level
   FROM tickets ORDER BY ticket_id LIMIT 5""")
 put("top_flagged", _CPU, """SELECT ticket_id, mismatch_type, round(mismatch_confidence, 6) AS confidence, severity_delta
