@@ -39,7 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, as little-endian 32-bit integers."""
-    found = bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
+    found = bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"), with_text=False)
     return found.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids")
 
 

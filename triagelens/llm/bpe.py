@@ -38,6 +38,8 @@ SPACE = r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces that a task remembers; beyond it the cache starts anew.
 REMEMBERED = 1 << 17
+#: Rows that a task encodes before it hands them on.
+AT_ONCE = 500
 
 
 def byte_letters() -> list[str]:
@@ -58,9 +60,12 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in made["added_tokens"]}
         self.strings = {i: s for s, i in {**self.ids, **self.special}.items()}
         self.end = model["end_of_word_suffix"] or ""
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Rank of a pair of symbols, and the symbol that each rank makes.
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[self.ids[a], self.ids[b]] = rank, self.ids[a + b]
+            self.ranks[self.ids[a] << 32 | self.ids[b]] = rank
+            self.made.append(self.ids[a + b])
         letters = byte_letters()
         self.first = [self.ids[c] for c in letters]
         self.last = [self.ids[c + self.end] for c in letters]
@@ -71,32 +76,38 @@ class Codec:
         self.words: dict[str, list[int]] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
-        """The symbols after all merges."""
-        n, merges = len(symbols), self.merges
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
+        """The symbols after all merges.
+
+        A queue entry is the rank above the position of the left symbol; a merged right
+        symbol becomes -1, which no pair contains.
+        """
+        n, rank_of = len(symbols), self.ranks.get
+        if n < 2:
+            return symbols
         queue = []
         for i in range(n - 1):
-            if found := merges.get((symbols[i], symbols[i + 1])):
-                queue.append((found[0], i, found[1]))
+            if (rank := rank_of(symbols[i] << 32 | symbols[i + 1])) is not None:
+                queue.append(rank << 32 | i)
+        if not queue:
+            return symbols
         heapq.heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            _, i, new = heapq.heappop(queue)
+            top = heapq.heappop(queue)
+            i, rank = top & 0xFFFFFFFF, top >> 32
             j = after[i]
-            if not alive[i] or j >= n:
-                continue
-            found = merges.get((symbols[i], symbols[j]))
-            if not found or found[1] != new:  # stale: one of the two has changed
-                continue
-            symbols[i], alive[j] = new, False
+            if j >= n or symbols[i] < 0 or rank_of(symbols[i] << 32 | symbols[j]) != rank:
+                continue  # stale: one of the two has changed
+            new = self.made[rank]
+            symbols[i], symbols[j] = new, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if found := merges.get((new, symbols[k])):
-                    heapq.heappush(queue, (found[0], i, found[1]))
-            if (h := before[i]) >= 0 and (found := merges.get((symbols[h], new))):
-                heapq.heappush(queue, (found[0], h, found[1]))
-        return [s for s, there in zip(symbols, alive, strict=True) if there]
+                if (rank := rank_of(new << 32 | symbols[k])) is not None:
+                    heapq.heappush(queue, rank << 32 | i)
+            if (h := before[i]) >= 0 and (rank := rank_of(symbols[h] << 32 | new)) is not None:
+                heapq.heappush(queue, rank << 32 | h)
+        return [s for s in symbols if s >= 0]
 
     def word(self, word: str) -> list[int]:
         if (known := self.words.get(word)) is not None:
@@ -145,16 +156,23 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Add ``n_tokens``, ``ids`` (little-endian 32-bit integers) and ``decoded``."""
+def sliced(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        for begin in range(0, len(part), AT_ONCE):
+            yield part.iloc[begin:begin + AT_ONCE]
+
+
+def encoded(docs: DataFrame, path: str, text: str = "text", with_text: bool = True) -> DataFrame:
+    """Add ``n_tokens``, ``ids`` (little-endian 32-bit integers) and ``decoded``, which is
+    NULL unless ``with_text``."""
 
     @F.pandas_udf("n_tokens long, ids binary, decoded string")
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path)
-        for part in parts:
+        for part in sliced(parts):
             rows = [own.encode(t) for t in part]
-            yield pd.DataFrame({"n_tokens": [len(a) // 4 for a, _ in rows],
-                                "ids": [a for a, _ in rows], "decoded": [b for _, b in rows]})
+            yield pd.DataFrame({"n_tokens": [len(a) // 4 for a, _ in rows], "ids": [a for a, _ in rows],
+                                "decoded": [b if with_text else None for _, b in rows]})
 
     added = ("n_tokens", "ids", "decoded")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
@@ -171,7 +189,7 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path)
-        for part in parts:
+        for part in sliced(parts):
             rows = []
             for t in part:
                 ids, decoded = own.encode(t)
