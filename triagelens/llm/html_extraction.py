@@ -327,8 +327,11 @@ def layouts(texts: list[str], n: int) -> Iterator[tuple[str, list[bool]]]:
 
 def trained(pages: DataFrame, column: str = "html") -> Field:
     """The field trained on layouts made of a bounded sample of the table's own texts."""
-    rows = (pages.select(F.col(column).alias("html")).filter("html is not null")
-            .orderBy(F.xxhash64("html"), "html").limit(SAMPLE).collect())
+    found = pages.select(F.col(column).alias("html"), F.xxhash64(column).alias("place")).filter("html is not null")
+    # first the hashes alone, then the pages they name, copies once
+    last = found.select("place").distinct().orderBy("place").limit(SAMPLE).agg(F.max("place")).first()[0]
+    rows = [] if last is None else (
+        found.filter(F.col("place") <= last).dropDuplicates(["place"]).orderBy("place").collect())
     texts = [b.text for r in rows for b in Reader().read(r["html"])]
     known: dict = {}
     made = []

@@ -203,8 +203,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     vectors = stored(texts.mapInPandas(pooled(word_vectors(texts)), "doc_id long, vector binary"), "vectors")
     marked = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(
         F.col("y").isin(0, 1) & (remainder(F.col("doc_id")) != 2))
-    order = F.xxhash64("doc_id", "y")
-    sample = (vectors.join(marked, "doc_id").select("vector", "y", order.alias("place"))
+    marked = marked.withColumn("place", F.xxhash64("doc_id", "y"))
+    known = vectors.join(marked, "doc_id").select("vector", "y", "place")
+    # first the hashes alone, then the rows they name
+    last = known.select("place").orderBy("place").limit(SAMPLE).agg(F.max("place")).first()[0]
+    sample = (known.filter(F.col("place") <= (last if last is not None else 0))
               .orderBy("place", "vector", "y").limit(SAMPLE).toPandas())
     net = fit(rows_of(sample["vector"]), sample["y"].to_numpy(dtype=float),
               (sample["place"].to_numpy(dtype=np.int64) % 5) == 0)
