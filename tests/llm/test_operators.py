@@ -314,6 +314,17 @@ def test_linked_sets_share_an_index_entry():
                 assert len(np.intersect1d(x, y)), (n, gone)
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for n, m in ((3, 5), (400, 500), (900, 5000), (6000, 7000)):
+        s = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
+        a, b = s[:n], s[n // 2:]
+        x, y = jaccard_join.parity(a), jaccard_join.parity(b)
+        bits = np.bitwise_count(jaccard_join.folded(x, len(y)) ^ jaccard_join.folded(y, len(x))).sum()
+        assert bits <= len(np.setxor1d(a, b))
+        assert jaccard_join.folded(x, len(x) // 2 or 1).size <= len(x)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 60), (60, 80), (7, 7)]
     got = {r["node"]: r["component"] for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
