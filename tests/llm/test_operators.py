@@ -314,6 +314,24 @@ def test_linked_sets_share_an_index_entry():
                 assert len(np.intersect1d(x, y)), (n, gone)
 
 
+def near(i, changed=()):
+    """A text of a hundred words; ``changed`` words make few shingles differ."""
+    return " ".join(f"t{i}c{k}" if k in changed else f"t{i}w{k}" for k in range(100))
+
+
+def test_one_row_of_each_group(spark):
+    rows = [(1, near(1), "b"), (1, near(1), "a"), (1, near(1), "b"), (None, near(1), "x"),  # repeats, a copy without an id
+            (3, near(3), "a"), (7, near(3), "a"), (7, near(7), "a"),  # a copy and a text of its own under one id
+            (None, near(8), "n"), (None, near(8), "m"), (None, near(8, {99}), "n"), (9, "", "a"), (None, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = jaccard_join.one_of_each(df).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got if r["doc_id"]) == Counter(
+        [(1, near(1)), (3, near(3)), (7, near(7)), (9, "")])
+    assert sorted(r["text"] or "" for r in got if r["doc_id"] is None)[0] == ""
+    assert sum(r["doc_id"] is None for r in got) == 2
+    assert [r["source"] for r in got if r["doc_id"] == 1] == ["a"]
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(9)
     for n, m in ((3, 5), (400, 500), (900, 5000), (6000, 7000)):
