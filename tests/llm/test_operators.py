@@ -255,6 +255,20 @@ def test_quality_on_held_out_labels(spark, sf_dir):
     assert ((rows.score >= 0.7).astype(int) == rows.predicted).all()
 
 
+def test_every_word_has_its_own_vector(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcdefghij", k=9)) for _ in range(6000)]
+    texts = [(1, " ".join(names)), (None, " ".join(names[:50])), (2**60 + 1, ""), *((10 + i, w) for i, w in enumerate(names[:3000]))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: np.frombuffer(r["vector"], np.float32) for r in quality_model.document_vectors(df).collect()}
+    assert set(rows) == {t[0] for t in texts} and not rows[2**60 + 1].any()
+    assert rows[1][quality_model.SIZE + 3] == 1.0  # all its words are different
+    alone = np.stack([rows[10 + i] for i in range(3000)])
+    assert len(np.unique(alone, axis=0)) == 3000  # more words than there were classes
+    small = {r["doc_id"]: np.frombuffer(r["vector"], np.float32) for r in quality_model.document_vectors(df, 1000).collect()}
+    assert all(np.allclose(rows[d], small[d], atol=1e-5) for d in rows)  # sums meet over all chunks
+
+
 def test_quality_ignores_held_out_labels(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
