@@ -242,6 +242,22 @@ def test_odd_pages(spark):
     assert html_extraction.main_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<article><p>One</p><svg class="i"/><p>Two</p><p>Three</p></article>', ["One", "Two", "Three"]),
+    ("<p>One</p><math/><p>Two</p><svg/><p>Three</p><svg><text>no</text></svg>", ["One", "Two", "Three"]),
+    ("<p>One</p><svg><path d='M0'><p>Two</p><svg><title>no</title></svg><p>Three</p>", ["One", "Two", "Three"]),
+    ("<p>One</p><noscript><p>Two</p><noscript>no</noscript><p>Three</p>", ["One", "Two", "Three"]),
+    ("<p>One</p><template><p>Two</p>", ["One", "Two"]),
+    ("<p>One<svg><svg/><svg><text>no</text></svg><text>no</text></svg></p><template><p>no</p></template>", ["One"]),
+    ("<p>One<noscript><img src='a'>no</noscript></p><script>no", ["One"]),
+    ("<p>Let <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> hold.</p>", ["Let x = 2 hold."]),
+    ("<p title=it's>He said it's fine</p>", ["He said it's fine"]),
+    ("<p title='a>b' class=\"c>d\">One</p><p title = it's>Two</p><a href=?q=\"x>Three</a>", ["One", "Two", "Three"]),
+])
+def test_text_behind_odd_tags(page, want):
+    assert [b.text for b in html_extraction.Reader().read(page)] == want
+
+
 def test_quality_on_held_out_labels(spark, sf_dir):
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     rows = QUERIES["op6_quality_model"](spark, sf_dir).toPandas()

@@ -12,7 +12,9 @@ content and other blocks are known.  Every page of the table is then decoded whe
 
 Defined cases: a missing or empty page has the text ""; pages without content blocks too;
 repeated rows are decoded each; missing ids and addresses are kept; extra columns are
-ignored; unclosed and stray tags are tolerated; an empty table gives an empty table.
+ignored; unclosed and stray tags are tolerated: an svg, noscript or template element is
+left out only if it is closed (an svg before the next block begins), a svg or math tag that
+ends in "/>" is empty, and the text of math stays; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,10 +35,26 @@ SAMPLE, TRAINING = 200, 600
 FEATURES = 1 << 14
 ROUNDS, RATE, SHRINK = 60, 0.3, 1e-4
 
-ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+#: HTML elements that begin a block of their own.
+BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt
+ fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol
+ option p pre section select summary table tbody td tfoot th thead tr ul""".split())
+#: A quote opens a value only after "=".
+ATTRIBUTES = r"""(?:[^>=]|=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)*+"""
+
+
+def dropped(name: str, ends: str = "") -> str:
+    """Pattern of a closed element whose text is none of the page's, with elements of its
+    own name inside; a tag named in ``ends`` shows that it was left unclosed."""
+    within = rf"[^<]++|<(?!/?(?:{name}{ends})[\s/>])"
+    begin = rf"<{name}(?=[\s/>]){ATTRIBUTES}"
+    return rf"{begin}(?<!/)>(?:{within}|{begin}(?:(?<=/)>|(?<!/)>(?:{within})*+</{name}\s*>))*+</{name}\s*>"
+
+
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)"""
-    rf"""|<(script|style|noscript|template|svg|math|iframe|textarea|title)\b{ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"""
+    rf"""|<(script|style|iframe|textarea|title)(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"""
+    rf"""|{dropped("noscript")}|{dropped("template")}|{dropped("svg", "|" + "|".join(sorted(BLOCKS)))}"""
     rf"""|<head\b{ATTRIBUTES}>.*?</head\s*>"""
     rf"""|<[!?][^>]*>"""
     rf"""|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>"""
@@ -44,10 +62,7 @@ TOKEN = re.compile(
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[a-z]+")
 
-#: HTML elements that begin a block of their own, and those without an end.
-BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt
- fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol
- option p pre section select summary table tbody td tfoot th thead tr ul""".split())
+#: HTML elements without an end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes an open one of these before it opens.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
