@@ -392,6 +392,24 @@ def test_mix_hits_its_targets(spark, sf_dir):
                                   again.sort_values("doc_id", ignore_index=True))
 
 
+def test_mixture_of_repeated_rows_hits_its_targets(spark):
+    def row(i, source):
+        return i, " ".join(f"w{i}x{k}" for k in range(10 + i % 7)), source, i
+
+    rows = [row(i, "a") for i in range(40)] * 2 + [row(100 + i, "b") for i in range(30)] + [row(200 + i, None) for i in range(30)]
+    rows += [row(5, "b"), row(6, "b"), (None, *row(7, "a")[1:]), (None, *row(7, "a")[1:]), (5, *row(5, "a")[1:3], 99)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+    sizes = Counter()
+    for r in rows:
+        sizes[r[2]] += len(r[1].split())
+    goals = {r["source_size"]: int(r["target"] + 0.5) for r in mixing.mix(df).collect()}
+    assert len(set(sizes.values())) == len(sizes) == len(goals)
+    got = Counter()
+    for r in mixing.mixed_documents(df).collect():
+        got[r["source"]] += len(r["text"].split())
+    assert got == {s: goals[n] for s, n in sizes.items()}
+
+
 def test_mix_prefers_better_documents(spark):
     rows = [(i, "word " * 10 if i % 2 else "w$$$$ " * 10, "a") for i in range(2000)] + [(5000, "word " * 15000, "b")]
     found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()

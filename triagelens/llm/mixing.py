@@ -70,12 +70,12 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
-    return shares(sized(docs, key, text, source).drop("digest"))
+    return shares(stored(sized(docs, key, text, source).drop("digest"), "sized"))
 
 
-def shares(rows: DataFrame) -> DataFrame:
-    """What the mix takes of sized rows (doc_id, source, size, draw); other columns stay."""
-    base = stored(rows, "sized")
+def shares(base: DataFrame) -> DataFrame:
+    """What the mix takes of stored sized rows (doc_id, source, size, draw); other columns
+    stay, and are the last to order ties by."""
     more = [c for c in base.columns if c not in ("doc_id", "source", "size", "draw")]
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"),
                                        F.count(F.lit(1)).alias("source_docs"))
@@ -85,7 +85,7 @@ def shares(rows: DataFrame) -> DataFrame:
     ranges = F.ceil(F.sqrt("source_docs") / RANGE_SHARE)
     d = d.withColumn("range", F.least(F.floor((1 - F.col("draw")) * ranges), ranges - 1))
     in_range = (Window.partitionBy("source", "range")
-                .orderBy(F.col("draw").desc(), "doc_id", "size")
+                .orderBy(F.col("draw").desc(), "doc_id", "size", *more)
                 .rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("inside", F.coalesce(F.sum("size").over(in_range), F.lit(0)))
     # one row per source and range
@@ -106,13 +106,26 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     source: str = "source") -> DataFrame:
     """The mix itself: documents repeated once per epoch, and the partly taken document
     of a source cut to the words it gives (joined by one blank).  Columns as in ``docs``.
-    Rows that repeat both id and text are one document of the mix and share its fate."""
+    Rows that repeat id, text and source are numbered, and each has a share of its own."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    same = ["_id", "_digest", "_of"]
     rows = docs.select(F.col(key).alias("_id"), F.xxhash64(whole(F.col(text))).alias("_digest"),
-                       F.struct(*columns).alias("_row"))
-    taken = shares(sized(docs, key, text, source).dropDuplicates(["doc_id", "digest"]))
-    taken = taken.filter("taken > 0").select("doc_id", "digest", "size", "taken")
-    found = rows.join(taken, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest")))
+                       F.col(source).alias("_of"), F.struct(*columns).alias("_row"))
+    copies = Window.partitionBy("doc_id", "digest", "source").orderBy("size")
+    base = stored(sized(docs, key, text, source).withColumn("of", F.col("source"))
+                  .withColumn("copy", F.row_number().over(copies)), "sized")
+    repeated = stored(base.filter("copy = 2").select("doc_id", "digest", "of"), "repeated")
+    equal = (F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest"))
+             & F.col("_of").eqNullSafe(F.col("of")))
+    if repeated.isEmpty():
+        rows = rows.withColumn("_copy", F.lit(1))
+    else:  # only repeated rows are moved to be numbered
+        more = [F.col(f"_row.`{c}`") for c in docs.columns if c not in (key, text, source)]
+        numbers = Window.partitionBy(*same).orderBy(F.to_json(F.struct(F.lit(0), *more)))
+        rows = rows.join(repeated, equal, "left_anti").withColumn("_copy", F.lit(1)).unionByName(
+            rows.join(repeated, equal, "left_semi").withColumn("_copy", F.row_number().over(numbers)))
+    taken = shares(base).filter("taken > 0").select("doc_id", "digest", "of", "copy", "size", "taken")
+    found = rows.join(taken, equal & (F.col("_copy") == F.col("copy")))
     whole_copies = F.floor(F.col("taken") / F.col("size")).cast("int")
     part = (F.col("taken") % F.col("size")).cast("int")
     found = found.select("_row", F.explode(F.concat(
