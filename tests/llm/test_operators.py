@@ -349,6 +349,14 @@ def near(i, changed=()):
     return " ".join(f"t{i}c{k}" if k in changed else f"t{i}w{k}" for k in range(100))
 
 
+def test_links_through_documents_without_an_id(spark):
+    rows = [(1, near(1)), (None, near(1, {20, 40})), (2, near(1, {20, 40, 60, 80})),  # 1 and 2 alone do not link
+            (7, near(1)), (7, near(7)), (None, near(8)), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect())
+    assert got == Counter([(1, 1), (None, 1), (2, 1), (7, 1), (7, 7), (None, None), (3, 3)])
+
+
 def test_one_row_of_each_group(spark):
     rows = [(1, near(1), "b"), (1, near(1), "a"), (1, near(1), "b"), (None, near(1), "x"),  # repeats, a copy without an id
             (3, near(3), "a"), (7, near(3), "a"), (7, near(7), "a"),  # a copy and a text of its own under one id
