@@ -2,11 +2,13 @@
 
 Templates are short licence notices as word lists, each with a mandatory key phrase.  The
 index holds, for each template, its rarest words and their positions; rarity is the inverse
-document frequency of the licence words over all documents.  A document looks up its own
-rarest licence words, every occurrence posts (template, position in the text - position in
-the template), and equal postings meet: that is where the template would lie.  The key
-phrase is then verified word by word, and the score is the share of the template's words
-found in place.
+document frequency of the licence words over all documents.  A document looks up all
+its indexed words, and every occurrence posts (template, position in the text - position in
+the template): that is where the template would lie.  Equal postings are checked once, but
+one posting is enough; postings are not intersected, as the phrase's anchor is indexed and
+the key phrase is verified word by word at every place.  So the frequencies choose which
+words are looked up, not the results.  The score is the share of the template's words found
+in place.
 
 The frequencies are one small aggregate (at most one row per licence word); everything
 else is computed row by row, so texts are never shuffled.
