@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 BLANK_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -69,3 +73,57 @@ def groups(docs: list[tuple[int, str]]) -> dict[int, tuple[int, int]]:
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), root(d)) for d in sets}
+
+
+def spellings(docs: list[tuple[int | None, str | None]]) -> dict[str, tuple]:
+    """Word -> (form, root, n, n_near, form_n), straight from the contract."""
+    seen: Counter[str] = Counter()
+    for doc, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 97 == 0:
+                spot = h % len(run)
+                run = run[:spot] + run[spot + 1:]
+            seen[run] += 1
+    words = {w: n for w, n in seen.items() if len(w) >= 5 and n >= 3}
+    by_gap: dict[tuple, set[str]] = defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            by_gap[w[:i], w[i + 1:]].add(w)  # one letter replaced
+    near: dict[str, set[str]] = defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            near[w] |= by_gap[w[:i], w[i + 1:]] - {w}
+            if (shorter := w[:i] + w[i + 1:]) in words:
+                near[w].add(shorter)
+                near[shorter].add(w)
+    form = {}
+    for w, n in words.items():
+        if near[w]:
+            best = min(near[w], key=lambda v: (-words[v], v))
+            if words[best] >= 2 * n:
+                form[w] = best
+    out = {}
+    for w, n in words.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out[w] = (form.get(w), root, n, len(near[w]), words[form[w]] if w in form else None)
+    return out
+
+
+def whole_steps(vectors: list) -> tuple[list[int], np.ndarray]:
+    """Positions of the usable vectors, and their whole numbers of the contract."""
+    kept = [i for i, v in enumerate(vectors) if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    return kept, np.array([[math.floor(64 * float(c)) + 1_000_000 for c in vectors[i]] for i in kept], dtype=np.int64)
+
+
+def token_stream(docs: list[tuple[int, str | None]], tokenizer) -> dict[int, tuple[int, int, int]]:
+    """Key -> (start, number of ids, CRC-32 of the ids)."""
+    out, at = {}, 0
+    for doc, text in sorted(docs):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        out[doc] = (at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        at += len(ids)
+    return out

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from brute import groups, sha
+from llm_brute import groups, sha
 from tokenizers import Tokenizer
 
 import corpus_pipeline

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from triagelens.llm import bpe, fingerprints, html_extraction, jaccard_join, license_scan, mixing, quality_model, quality_rules, secret_scan, suffix_dedup
+from triagelens.llm import bpe, fingerprints, html_extraction, jaccard_join, license_scan, mixing, quality_model, quality_rules, secret_scan, spelling, suffix_dedup, token_files, whitening
 from triagelens.llm.common import table
 
 
@@ -52,5 +52,17 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_license_scan, op4_suffix_dedup, op5_html_extraction, op6_quality_model, op7_secret_scan, op8_quality_rules, op9_jaccard_join, op10_mixing)}
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark, sf_dir):
+    return token_files.token_stream(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_license_scan, op4_suffix_dedup, op5_html_extraction, op6_quality_model, op7_secret_scan, op8_quality_rules, op9_jaccard_join, op10_mixing, op11_whitening, op12_spelling, op13_token_files)}
 SQL = {"op3_license_scan": license_scan.SQL, "op7_secret_scan": secret_scan.SQL, "op8_quality_rules": quality_rules.SQL, "op10_mixing": mixing.SQL}
