@@ -16,9 +16,9 @@ A task writes its file under a name of its own attempt, and only the manifest, w
 commits, tells which files count: a task that is run again leaves an unused file and no error.
 The folder must be one that all executors reach (``pyarrow.fs`` opens it).
 
-Texts are encoded in units that begin at a space before a character that is no white space:
-there the vocabulary's own splitting always cuts, so units are encoded once by the library and
-remembered.  Texts with other than Latin letters or with a special token go to the library whole.
+Texts are cut at each space that a character follows: there the vocabulary's own splitting always
+cuts, so a word with the space before it is encoded once by the library and remembered.  Texts with
+other than Latin letters or with a special token go to the library whole.
 
 Defined cases: a missing or empty text is its end id alone; documents without an id come first;
 equal ids and repeated rows are documents of their own, in an order fixed by the input files;
@@ -32,6 +32,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,7 +51,7 @@ LENGTH = 2048
 BATCH = 256
 #: The most files; beyond it files grow.
 MOST_FILES = 20_000
-#: Units that a task remembers, and the longest of them.
+#: Words that a task remembers (twice), and the longest of them.
 REMEMBERED = 1 << 18
 LONGEST = 40
 #: Characters that a task encodes at once.
@@ -58,9 +59,12 @@ AT_ONCE = 1 << 20
 #: Stands for a missing id in the order.
 FIRST = -(1 << 63)
 
-#: White space of the vocabulary's splitting, and what may be split by it beside special tokens.
-_CUT = re.compile(r" (?=[^\t-\r\x20\x85\xa0  -     　])")
-_OTHER = re.compile(r"[^\x00-ɏ‐-‧€]")
+#: White space among the characters that are cut here, and the characters that are not.
+_SPACE = r"\t-\r\x20\x85\xa0"
+_OTHER = r"[^\x00-ɏ‐-‧€]"
+_CUT = re.compile(rf" (?=[^{_SPACE}])")
+#: Marks that are split off a word which ends in a letter: a piece of their own to the vocabulary.
+_MARKS = ".,;:!?)]"
 
 
 class Encoder:
@@ -74,34 +78,70 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.apart = re.compile("|".join([_OTHER.pattern, *map(re.escape, marks)]))
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        marks = [t.content for t in added]
+        #: A special token stands alone, so it parts words that are encoded as one text.
+        self.mark, self.mark_id = next(
+            ((t.content, self.tokenizer.token_to_id(t.content)) for t in added if not (t.lstrip or t.rstrip or t.single_word)),
+            (None, None))
+        self.apart = re.compile("|".join([_OTHER, *map(re.escape, marks)]))
+        self.spaced = re.compile(rf" (?:[{_SPACE}]|$)")
+        #: Ids of words with the space before them, those of late and those before.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.type).tobytes() for e in found]
+        return [array(self.type.char, e.ids).tobytes() for e in found]
+
+    def library_words(self, words: list[str], together: int = 500) -> list[bytes]:
+        """The ids of words behind a space."""
+        if self.mark is None:
+            return self.library([" " + w for w in words])
+        out = []
+        for i in range(0, len(words), together):
+            text = " " + f"{self.mark} ".join(words[i:i + together])
+            found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.type)
+            data, width, begin = found.tobytes(), self.type.itemsize, 0
+            for end in [*np.flatnonzero(found == self.mark_id).tolist(), len(found)]:
+                out.append(data[begin * width:end * width])
+                begin = end + 1
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        whole_texts = [i for i, t in enumerate(texts) if self.apart.search(t)]
-        out: list[bytes | None] = [None] * len(texts)
-        for i, ids in zip(whole_texts, self.library([texts[i] for i in whole_texts]), strict=True):
-            out[i] = ids
-        cut = {}
+        whole_texts = {i for i, t in enumerate(texts) if self.apart.search(t)}
+        first, words = [], {}
         for i, t in enumerate(texts):
-            if out[i] is None:
-                first, *rest = _CUT.split(t)
-                cut[i] = [first, *[" " + u for u in rest]]
-        new = {u for units in cut.values() for u in units if u not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {u for units in cut.values() for u in units}
-        fresh = list(new)
-        made = dict(zip(fresh, self.library(fresh), strict=True))
-        self.known.update((u, ids) for u, ids in made.items() if len(u) <= LONGEST)
-        for i, units in cut.items():
-            out[i] = b"".join([self.known[u] if u in self.known else made[u] for u in units])
+            if i in whole_texts:
+                first.append(t)
+            else:
+                begin, *words[i] = _CUT.split(t) if self.spaced.search(t) else t.split(" ")
+                first.append(begin)
+        if len(self.known) > REMEMBERED:  # words that are still in use come back from the older ones
+            self.known, self.older = {}, self.known
+        known, new = self.known, []
+        for w in set().union(*words.values()):
+            if w not in known:
+                if (ids := self.older.get(w)) is not None:
+                    known[w] = ids
+                else:
+                    new.append(w)
+        stems = {w: w.rstrip(_MARKS) for w in new}
+        stems = {w: s for w, s in stems.items() if s != w and s[-1:].isalpha()}
+        tails = {w[len(s):] for w, s in stems.items()}
+        tail_ids = dict(zip(tails, self.library(list(tails)), strict=True))
+        plain = {w for w in new if w not in stems}
+        plain.update(s for s in stems.values() if s not in known)
+        plain = list(plain)
+        known.update(zip(plain, self.library_words(plain), strict=True))
+        known.update((w, known[s] + tail_ids[w[len(s):]]) for w, s in stems.items())
+        out = self.library(first)
+        for i, own in words.items():
+            out[i] += b"".join(map(known.__getitem__, own))
+        for w in (*new, *plain):
+            if len(w) > LONGEST:
+                known.pop(w, None)
         return out
 
 
