@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,18 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def kept(name: str, make: Callable[[], object]) -> object:
+    """An object that a Python worker makes once and keeps for its later tasks.
+
+    Functions of this package may travel by value and bring fresh globals with every task, so
+    the object hangs on a module of the worker."""
+    worker = sys.modules.setdefault("_triagelens_worker", ModuleType("_triagelens_worker"))
+    store = worker.__dict__.setdefault("kept", {})
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def scratch(spark: SparkSession, purpose: str) -> str:
     """A fresh folder that all executors share, below ``spark.checkpoint.dir``.
 

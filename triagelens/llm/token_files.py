@@ -34,7 +34,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triagelens.llm.common import scratch, stored, whole
+from triagelens.llm.common import kept, scratch, stored, whole
 
 #: Ids in a sequence, sequences in a record batch.
 LENGTH = 2048
@@ -52,10 +51,10 @@ BATCH = 256
 #: The most files; beyond it files grow.
 MOST_FILES = 20_000
 #: Words that a task remembers (twice), and the longest of them.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 LONGEST = 40
 #: Characters that a task encodes at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 21
 #: Stands for a missing id in the order.
 FIRST = -(1 << 63)
 
@@ -127,13 +126,10 @@ class Encoder:
                     known[w] = ids
                 else:
                     new.append(w)
-        stems = {w: w.rstrip(_MARKS) for w in new}
-        stems = {w: s for w, s in stems.items() if s != w and s[-1:].isalpha()}
-        tails = {w[len(s):] for w, s in stems.items()}
-        tail_ids = dict(zip(tails, self.library(list(tails)), strict=True))
-        plain = {w for w in new if w not in stems}
-        plain.update(s for s in stems.values() if s not in known)
-        plain = list(plain)
+        stems = {w: s for w in new if (s := w.rstrip(_MARKS)) != w and s[-1:].isalpha()}
+        tails = list({w[len(s):] for w, s in stems.items()})
+        tail_ids = dict(zip(tails, self.library(tails), strict=True))
+        plain = list({s for s in stems.values() if s not in known}.union(w for w in new if w not in stems))
         known.update(zip(plain, self.library_words(plain), strict=True))
         known.update((w, known[s] + tail_ids[w[len(s):]]) for w, s in stems.items())
         out = self.library(first)
@@ -145,9 +141,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """One encoder for each Python worker, so words are remembered from task to task."""
+    return kept(f"encoder of {path}", lambda: Encoder(path))
 
 
 def _slices(texts: list[str]) -> Iterator[list[str]]:
