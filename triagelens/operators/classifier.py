@@ -5,26 +5,17 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
-    LogisticRegression,
-    LogisticRegressionModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelens import constants as K
 from triagelens.functions.text import literal_map
 from triagelens.operators import metrics as M
+from triagelens.operators.boosting import FIT_ROWS, BoostArgs, Ensemble, boost, bounded, forest, with_numbers
 from triagelens.operators.encoding import LabelEncoder, fit_label_encoder
 from triagelens.operators.quantiles import exact_quantiles
 from triagelens.operators.tfidf import TfIdf, fit_tfidf
-from triagelens.session import keep_lineage_short
 
 NUMERIC_FEATURES = (
     "severity_resolution", "severity_rules", "severity_cluster", "severity_fused",
@@ -90,10 +81,13 @@ class FeatureModel:
     def transform(self, df: DataFrame, output: str = "features") -> DataFrame:
         coded = self.ticket_type.add(self.channel.add(df, "__channel"), "__type")
         columns = numeric_features(F.col("__channel"), F.col("__type"))
-        helpers = {f"__f_{n}": columns[n] for n in self.numeric}
-        wide = self.tfidf.transform(coded, "full_text", "__tfidf").withColumns(helpers).drop("__channel", "__type")
-        assembler = VectorAssembler(inputCols=["__tfidf", *helpers], outputCol=output)
-        return assembler.transform(wide).drop("__tfidf", *helpers)
+        wide = self.tfidf.sparse(coded, "full_text", "__tfidf")
+        made = with_numbers(F.col("__tfidf"), len(self.tfidf.vocabulary), [columns[n] for n in self.numeric])
+        return wide.withColumn(output, made).drop("__tfidf", "__channel", "__type")
+
+    @property
+    def size(self) -> int:
+        return len(self.tfidf.vocabulary) + len(self.numeric)
 
 
 def fit_features(df: DataFrame, max_terms: int = 1000, min_df: int = 3,
@@ -168,28 +162,23 @@ def _weighted(df: DataFrame, weights: DataFrame, label: str, output: str) -> Dat
 @dataclass
 class MismatchClassifier:
     features: FeatureModel
-    model: GBTClassificationModel | RandomForestClassificationModel
+    model: Ensemble
     threshold: float
     metrics: DataFrame | None = None
 
     def score(self, df: DataFrame, threshold: float | None = None) -> DataFrame:
         """Adds ``mismatch_confidence`` (probability of a mismatch) and ``mismatch_pred``."""
         cut = self.threshold if threshold is None else threshold
-        features = self.model.getFeaturesCol()
-        scored = self.model.transform(self.features.transform(df, features))
-        confidence = vector_to_array("probability")[1]
-        return (
-            scored.withColumn("mismatch_confidence", confidence)
-            .withColumn("mismatch_pred", (F.col("mismatch_confidence") >= cut).cast("int"))
-            .drop(features, "rawPrediction", "probability", "prediction")
-        )
+        scored = self.features.transform(df, "__features").withColumn(
+            "mismatch_confidence", self.model.score(F.col("__features")))
+        return scored.withColumn(
+            "mismatch_pred", (F.col("mismatch_confidence") >= cut).cast("int")).drop("__features")
 
     # -- storage: model files plus one JSON row, all in Spark formats
     def save(self, path: str) -> None:
         spark = SparkSession.getActiveSession()
-        self.model.write().overwrite().save(f"{path}/model")
+        self.model.save(spark, f"{path}/model")
         state = {
-            "kind": type(self.model).__name__,
             "threshold": self.threshold,
             "vocabulary": self.features.tfidf.vocabulary,
             "idf": self.features.tfidf.idf,
@@ -207,7 +196,6 @@ class MismatchClassifier:
     @staticmethod
     def load(spark: SparkSession, path: str) -> MismatchClassifier:
         state = json.loads(spark.read.parquet(f"{path}/state").first()["state"])
-        kinds = {c.__name__: c for c in (GBTClassificationModel, RandomForestClassificationModel)}
         features = FeatureModel(
             TfIdf(tuple(state["vocabulary"]), tuple(state["idf"]), state["max_n"]),
             LabelEncoder("ticket_channel", tuple(state["channel"])),
@@ -215,53 +203,47 @@ class MismatchClassifier:
             tuple(state["numeric"]),
         )
         return MismatchClassifier(
-            features, kinds[state["kind"]].load(f"{path}/model"), state["threshold"],
+            features, Ensemble.load(spark, f"{path}/model"), state["threshold"],
             spark.read.parquet(f"{path}/metrics") if state["measured"] else None)
 
 
 def train_classifier(
     df: DataFrame, label: str = "mismatch", key: str = "ticket_id", seed: int = 42,
-    algorithm: str = "gbt", trees: int = 500, max_depth: int = 6, step_size: float = 0.05,
+    algorithm: str = "gbt", trees: int = 500, max_depth: int | None = None, step_size: float = 0.05,
     max_terms: int = 1000, without_leak: bool = False, exact_split: bool = False,
+    fit_rows: int = FIT_ROWS, patience: int = 30, state: str | None = None,
 ) -> MismatchClassifier:
     """Train on labelled tickets, tune the cut-off on validation rows, evaluate on test.
 
-    Class weights are applied once.  Boosting stops early on the validation rows.
+    Class weights are applied once.  Boosting (depth 6) ends after ``patience`` trees without
+    gain on the validation rows and keeps the best number of trees; a forest has depth 8.  The
+    trees see about ``fit_rows`` rows; features, weights, cut-off and metrics come from all.
+    ``state`` is the folder of a training run that may be gone on with.
     """
     features = fit_features(df, max_terms, without_leak=without_leak)
     split = stratified_split(df, key, label, seed) if exact_split else hash_split(df, key, seed)
-    train_only = split.filter(F.col("split") == "train")
-    weighted = _weighted(split, class_weights(train_only, label), label, "__weight")
-    prepared = (
-        features.transform(weighted, "__features")
-        .select(
-            "__features", "split", F.col(label).cast("double").alias("__label"), "__weight", (F.col("split") == "validation").alias("__validation"),
-        )
-        .persist()
-    )
+    weights = class_weights(split.filter(F.col("split") == "train"), label)
+    fitting = bounded(split.filter(F.col("split") != "test"), key, fit_rows, seed)
+    sample = features.transform(_weighted(fitting, weights, label, "__weight"), "features").select(
+        "features", F.col(label).cast("double").alias("label"), F.col("__weight").alias("weight"),
+        (F.col("split") == "validation").alias("validation"))
+    n_terms = len(features.tfidf.vocabulary)
+    if algorithm == "gbt":
+        args = BoostArgs("logistic", trees, max_depth or 6, step_size, 0.8, patience=patience, seed=seed)
+        model = boost(sample, n_terms, features.size, args, state)
+    else:
+        model = forest(sample, n_terms, features.size, trees, max_depth or 8, seed, state=state)
+    judged = MismatchClassifier(features, model, K.DEFAULT_THRESHOLD).score(
+        split.filter(F.col("split") != "train")).select(
+        "split", F.col(label).cast("int").alias("label"), F.col("mismatch_confidence").alias("p"))
+    scored = judged.persist()
     try:
-        keep_lineage_short(df.sparkSession)
-        learn = {"featuresCol": "__features", "labelCol": "__label", "weightCol": "__weight",
-                 "seed": seed, "maxDepth": max_depth}
-        fitting = prepared.filter(F.col("split") != "test")
-        if algorithm == "gbt":
-            estimator = GBTClassifier(
-                maxIter=trees, stepSize=step_size, subsamplingRate=0.8,
-                validationIndicatorCol="__validation", validationTol=0.001, **learn)
-        else:
-            estimator = RandomForestClassifier(numTrees=trees, **learn)
-            fitting = fitting.filter(~F.col("__validation"))
-        model = estimator.fit(fitting)
-        scored = model.transform(prepared.filter(F.col("split") != "train")).select(
-            "split", F.col("__label").cast("int").alias("label"),
-            vector_to_array("probability")[1].alias("p"),
-        )
         threshold = M.best_threshold(scored.filter("split = 'validation'"), "p", "label")
         test = scored.filter("split = 'test'").withColumn(
             "pred", (F.col("p") >= threshold).cast("int"))
         measured = M.classifier_metrics(test, "label", "pred").first()
     finally:
-        prepared.unpersist()
+        scored.unpersist()
     result = df.sparkSession.createDataFrame(
         [(*[float(measured[m]) for m in K.GATE], threshold)],
         ", ".join(f"{m} double" for m in K.GATE) + ", threshold double",
@@ -278,12 +260,14 @@ class TextClassifier:
     metrics: DataFrame | None = None
 
     def score(self, df: DataFrame, threshold: float = K.DEFAULT_THRESHOLD) -> DataFrame:
-        ready = self.tfidf.transform(df.withColumn("__text", model_text(None, None)), "__text", "__features")
-        scored = self.model.transform(ready)
+        ready = self.tfidf.sparse(df.withColumn("__text", model_text(None, None)), "__text", "__features")
+        weights = F.expr("array(" + ", ".join(f"{x!r}D" for x in self.model.coefficients.toArray().tolist()) + ")")
+        own = F.zip_with("__features.indices", "__features.values", lambda i, x: F.get(weights, i) * x)
+        margin = F.aggregate(own, F.lit(float(self.model.intercept)), lambda s, x: s + x)
         return (
-            scored.withColumn("mismatch_confidence", vector_to_array("probability")[1])
+            ready.withColumn("mismatch_confidence", F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)))
             .withColumn("mismatch", (F.col("mismatch_confidence") >= threshold).cast("int"))
-            .drop("__text", "__features", "rawPrediction", "probability", "prediction")
+            .drop("__text", "__features")
         )
 
 
@@ -297,9 +281,8 @@ def train_text_classifier(
     train = split.filter("split = 'train'")
     tfidf = fit_tfidf(train, "__text", max_terms, 2)
     weighted = _weighted(split, class_weights(train, label), label, "__weight")
-    prepared = tfidf.transform(weighted, "__text", "__features").select(
-        "__features", "split", F.col(label).cast("int").alias("label"), "__weight"
-    ).persist()
+    prepared = tfidf.vectors(weighted.select(
+        "__text", "split", F.col(label).cast("int").alias("label"), "__weight"), "__text", "__features").drop("__text").persist()
     try:
         best, best_f1 = None, -1.0
         for reg in regularisation:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelens import constants as K
 from triagelens.functions.text import literal_map
 from triagelens.operators.quantiles import quantile_table
 from triagelens.profiles import AuditProfile
+from triagelens.session import shared_dir
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -114,17 +118,152 @@ def cluster_severity(cluster: Column, ranking: dict[int, tuple[float, int]] | No
     )
 
 
+# ------------------------------------------------------------------------ k-means
+#: Rows that starting centres are drawn from, and rows that a task multiplies at once.
+SEED_ROWS = 2_000
+AT_ONCE = 4_096
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarray]:
+    """The first column as dense unit rows: arrays, or sparse rows of ``indices`` and ``values``."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, AT_ONCE):
+            column = batch.column(0).slice(begin, AT_ONCE)
+            sparse = pa.types.is_struct(column.type)
+            lists = pc.struct_field(column, "values") if sparse else column
+            rows = np.repeat(np.arange(len(column)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            values = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.float64)
+            if sparse:
+                x = np.zeros((len(column), size))
+                x[rows, pc.list_flatten(pc.struct_field(column, "indices")).to_numpy()] = values
+            else:
+                x = values.reshape(len(column), size)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            yield x / np.where(norm > 0, norm, 1)
+
+
+def _gaps(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distance of every row to every centre."""
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1), 0)
+
+
+@dataclass(frozen=True)
+class Centers:
+    """The centres of a fitted clustering, and its cost: the squared distances of all rows."""
+
+    centers: np.ndarray
+    cost: float
+
+    @property
+    def k(self) -> int:
+        return len(self.centers)
+
+    def _label(self, column: pa.Array) -> pd.Series:
+        found = [_gaps(x, self.centers).argmin(axis=1) for x in _matrices(
+            [pa.record_batch([column], names=["v"])], self.centers.shape[1])]
+        return pd.Series(np.concatenate(found) if found else np.zeros(0, np.int64))
+
+    def nearest(self, vector: Column, sparse: bool = False) -> Column:
+        """Number of the closest centre, for arrays or for sparse rows."""
+
+        @F.pandas_udf("int")
+        def arrays(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for part in parts:
+                yield self._label(pa.array(part, pa.list_(pa.float64())))
+
+        @F.pandas_udf("int")
+        def sparse_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            for part in parts:
+                yield self._label(pa.StructArray.from_arrays(
+                    [pa.array(part["indices"], pa.list_(pa.int32())), pa.array(part["values"], pa.list_(pa.float64()))],
+                    names=["indices", "values"]))
+
+        return (sparse_rows if sparse else arrays)(vector)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(i, c.tolist(), self.cost) for i, c in enumerate(self.centers)]
+        spark.createDataFrame(rows, "cluster int, center array<double>, cost double").coalesce(1).write.mode(
+            "overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Centers:
+        rows = spark.read.parquet(path).orderBy("cluster").collect()
+        return Centers(np.array([r["center"] for r in rows]), rows[0]["cost"])
+
+
+def _starts(rows: DataFrame, size: int, k: int, restarts: int, seed: int) -> np.ndarray:
+    """Starting centres of every restart, far from each other (k-means++), among a bounded
+    number of rows."""
+    some = list(_matrices(rows.limit(SEED_ROWS).toArrow().to_batches(), size))
+    x = np.concatenate(some) if some else np.zeros((0, size))
+    out = np.zeros((restarts, k, size))
+    for r in range(restarts if len(x) else 0):
+        draw = np.random.default_rng([seed, r])
+        out[r, 0] = x[draw.integers(len(x))]
+        for c in range(1, k):
+            near = _gaps(x, out[r, :c]).min(axis=1)
+            total = near.sum()
+            out[r, c] = x[draw.choice(len(x), p=near / total)] if total > 0 else x[draw.integers(len(x))]
+    return out
+
+
+def _pass(rows: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums, numbers and costs of the clusters of all restarts, from one pass over the rows.
+
+    A task gives one row per restart, cluster and dimension, however many rows it reads.
+    """
+    restarts, k, size = centers.shape
+    flat = centers.reshape(-1, size)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((restarts * k, size + 2))
+        for x in _matrices(batches, size):
+            gaps = _gaps(x, flat).reshape(len(x), restarts, k)
+            nearest = gaps.argmin(axis=2)
+            mark = np.zeros((len(x), restarts * k))
+            mark[np.arange(len(x))[:, None], nearest + np.arange(restarts) * k] = 1
+            total[:, :size] += mark.T @ x
+            total[:, size] += mark.sum(axis=0)
+            total[:, size + 1] += (mark * gaps.reshape(len(x), -1)).sum(axis=0)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total.reshape(-1)[used])], names=["cell", "v"])
+
+    summed = rows.mapInArrow(partial, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(restarts * k * (size + 2))
+    out[summed["cell"].to_numpy()] = summed["v"].to_numpy()
+    out = out.reshape(restarts, k, size + 2)
+    return out[:, :, :size], out[:, :, size], out[:, :, size + 1].sum(axis=1)
+
+
+def fit_centers(rows: DataFrame, size: int, k: int, seed: int, restarts: int, max_iter: int,
+                tolerance: float = 1e-4) -> Centers:
+    """Lloyd's iterations of all restarts at once; the lowest cost wins.
+
+    Every pass serves the restarts that still move; one that moves less than ``tolerance`` is
+    done, and its cost is that of its last pass."""
+    centers = _starts(rows, size, k, restarts, seed)
+    cost, moving = np.full(restarts, np.inf), np.arange(restarts)
+    for _ in range(max_iter):
+        sums, numbers, costs = _pass(rows, centers[moving])
+        cost[moving] = costs
+        new = np.where(numbers[:, :, None] > 0, sums / np.maximum(numbers, 1)[:, :, None], centers[moving])
+        moved = np.sqrt(((new - centers[moving]) ** 2).sum(axis=2)).max(axis=1)
+        centers[moving] = new
+        moving = moving[moved > tolerance]
+        if not len(moving):
+            break
+    best = int(cost.argmin())
+    return Centers(centers[best], float(cost[best]))
+
+
 @dataclass
 class ClusterModel:
     vector: str
-    model: KMeansModel | None
+    model: Centers | None
     ranking: dict[int, tuple[float, int]]
 
     def assign(self, df: DataFrame, output: str = "cluster") -> DataFrame:
-        vec = "__vec"
-        ready = df.withColumn(vec, _as_vector(df, self.vector))
-        model = self.model.setFeaturesCol(vec).setPredictionCol(output)
-        return model.transform(ready).drop(vec)
+        return df.withColumn(output, self.model.nearest(*_plain(df, self.vector)))
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``cluster`` and ``severity_cluster``."""
@@ -135,31 +274,27 @@ class ClusterModel:
         )
 
 
-def _as_vector(df: DataFrame, column: str) -> Column:
+def _plain(df: DataFrame, column: str) -> tuple[Column, bool]:
+    """Arrays become doubles, sparse rows stay as they are; and which it is."""
     if df.schema[column].dataType.typeName() == "array":
-        return array_to_vector(unit_array(F.col(column)))
-    return F.col(column)
+        return F.col(column).cast("array<double>"), False
+    return F.col(column), True
 
 
 def fit_clusters(df: DataFrame, vector: str, profile: AuditProfile, k: int = 4, seed: int = 42,
-                 restarts: int = 10, max_iter: int = 300) -> ClusterModel:
-    """K-means with several seeds, the lowest cost wins.
+                 restarts: int = 10, max_iter: int = 300, size: int | None = None) -> ClusterModel:
+    """K-means with several starts side by side, then clusters ranked by median hours.
 
-    Vectors are persisted once for all restarts; each restart is k-means|| plus Lloyd
-    iterations, all of them aggregations.
+    ``vector`` is an array column, or sparse rows of ``size`` dimensions.  Vectors are written
+    once; every iteration is one aggregation over them.
     """
-    ready = df.select(
-        _as_vector(df, vector).alias("__vec"), F.col("resolution_hours")
-    ).persist()
-    try:
-        best = None
-        for i in range(restarts):
-            model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="__vec",
-                           predictionCol="cluster").fit(ready)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        ranking = rank_clusters(best.transform(ready).select("cluster", "resolution_hours"),
-                                profile, k)
-    finally:
-        ready.unpersist()
+    path = shared_dir(df.sparkSession, "cluster-vectors")
+    plain, sparse = _plain(df, vector)
+    kept = df.select(plain.alias("v"), F.col("resolution_hours").cast("double").alias("resolution_hours"))
+    kept.filter(F.col("v").isNotNull()).write.parquet(path)
+    ready = df.sparkSession.read.schema(kept.schema).parquet(path)
+    if size is None:
+        size = ready.select(F.size("v")).first()[0]
+    best = fit_centers(ready.select("v"), size, k, seed, restarts, max_iter)
+    ranking = rank_clusters(ready.select(best.nearest(F.col("v"), sparse).alias("cluster"), "resolution_hours"), profile, k)
     return ClusterModel(vector, best, ranking)

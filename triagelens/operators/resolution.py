@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelens import constants as K
+from triagelens.operators.boosting import FIT_ROWS, BoostArgs, Ensemble, boost, bounded, with_numbers
 from triagelens.operators.encoding import LabelEncoder, fit_label_encoder
 from triagelens.operators.quantiles import exact_quantiles
 from triagelens.operators.tfidf import TfIdf, fit_tfidf
 from triagelens.profiles import AuditProfile
-from triagelens.session import keep_lineage_short
 
 
 def severity_from_hours(hours: Column, cutoffs=K.DEFAULT_HOUR_CUTOFFS) -> Column:
@@ -62,7 +60,7 @@ class ResolutionModel:
     channel: LabelEncoder | None = None
     ticket_type: LabelEncoder | None = None
     cutoffs: tuple[float, ...] = K.DEFAULT_HOUR_CUTOFFS
-    regressor: GBTRegressionModel | None = None
+    regressor: Ensemble | None = None
 
     @property
     def feature_names(self) -> list[str]:
@@ -72,25 +70,20 @@ class ResolutionModel:
         # An unseen label becomes "Unknown" in the full audit, the first class in the other.
         unseen = "Unknown" if self.profile_name == "full" else None
         text = F.concat("ticket_subject", F.lit(" "), "ticket_description")
-        with_text = self.tfidf.transform(df.withColumn("__text", text), "__text", "__tfidf")
+        with_text = self.tfidf.sparse(df.withColumn("__text", text), "__text", "__tfidf")
         coded = self.ticket_type.add(self.channel.add(with_text, "__channel", unseen), "__type", unseen)
-        numeric = coded.withColumn("__enterprise", F.col("is_enterprise").cast("double"))
-        assembled = VectorAssembler(
-            inputCols=["__tfidf", "__channel", "__type", "__enterprise"], outputCol=output
-        ).transform(numeric)
-        return assembled.drop("__text", "__tfidf", "__channel", "__type", "__enterprise")
+        numbers = [F.col("__channel"), F.col("__type"), F.col("is_enterprise")]
+        made = with_numbers(F.col("__tfidf"), len(self.tfidf.vocabulary), numbers)
+        return coded.withColumn(output, made).drop("__text", "__tfidf", "__channel", "__type")
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``severity_resolution`` (and ``predicted_hours`` when fitted)."""
         if self.regressor is None:
             return score_default(df)
-        predicted = self.regressor.transform(self.features(df, self.regressor.getFeaturesCol()))
-        return (
-            predicted.withColumn("predicted_hours", F.expm1("prediction"))
-            .withColumn("severity_resolution",
-                        severity_from_hours(F.col("predicted_hours"), self.cutoffs))
-            .drop("prediction", self.regressor.getFeaturesCol())
-        )
+        predicted = self.features(df, "__features").withColumn(
+            "predicted_hours", F.expm1(self.regressor.score(F.col("__features"))))
+        return predicted.withColumn(
+            "severity_resolution", severity_from_hours(F.col("predicted_hours"), self.cutoffs)).drop("__features")
 
     def top_features(self, k: int = 20) -> DataFrame:
         """The ``k`` most important features; a model-sized table."""
@@ -99,7 +92,7 @@ class ResolutionModel:
         spark = SparkSession.getActiveSession()
         if self.regressor is None:
             return spark.createDataFrame([], "feature string, importance double")
-        weights = self.regressor.featureImportances.toArray().tolist()
+        weights = self.regressor.importances().tolist()
         rows = list(zip(self.feature_names, weights))
         return (
             spark.createDataFrame(rows, "feature string, importance double")
@@ -115,8 +108,14 @@ def fit_resolution(
     step_size: float = 0.05,
     seed: int = 42,
     max_terms: int | None = None,
+    fit_rows: int = FIT_ROWS,
+    state: str | None = None,
 ) -> ResolutionModel:
-    """Regress ``log1p(hours)`` on text and metadata, calibrate cut-offs on actual hours."""
+    """Regress ``log1p(hours)`` on text and metadata, calibrate cut-offs on actual hours.
+
+    Vocabulary, encoders and cut-offs come from all rows, the trees from about ``fit_rows``.
+    ``state`` is the folder of a training run that may be gone on with.
+    """
     train = training_rows(df)
     # Only whether there are enough rows matters, so the count stops early.
     if train.limit(profile.min_training_rows).count() < profile.min_training_rows:
@@ -135,20 +134,11 @@ def fit_resolution(
         fit_label_encoder(seen, "ticket_type"),
         tuple(quartiles(train)),
     )
-    gbt = GBTRegressor(
-        featuresCol="__features", labelCol="__label", seed=seed,
-        maxIter=max_iter or (300 if full else 200),
-        maxDepth=max_depth or (6 if full else 5),
-        stepSize=step_size,
-        subsamplingRate=0.8 if full else 1.0,
-    )
-    labelled = model.features(train, "__features").select(
-        "__features", F.log1p("resolution_hours").alias("__label")
-    )
-    keep_lineage_short(df.sparkSession)
-    labelled = labelled.persist()  # boosting reads it once per tree
-    try:
-        model.regressor = gbt.fit(labelled)
-    finally:
-        labelled.unpersist()
+    sample = model.features(bounded(train, "ticket_id", fit_rows, seed), "features").select(
+        "features", F.log1p("resolution_hours").alias("label"), F.lit(1.0).alias("weight"),
+        F.lit(False).alias("validation"))
+    args = BoostArgs(
+        "squared", max_iter or (300 if full else 200), max_depth or (6 if full else 5), step_size,
+        0.8 if full else 1.0, seed=seed)
+    model.regressor = boost(sample, len(tfidf.vocabulary), len(model.feature_names), args, state)
     return model

@@ -10,12 +10,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from triagelens.functions.text import WORD, compute_once
+from triagelens.functions.text import WORD, compute_once, let
+from triagelens.session import shared_dir
 
 # The vocabulary is collected and travels with every task, so it must stay small.
 MAX_TERMS = 100_000
@@ -55,22 +57,34 @@ class TfIdf:
         with_terms = df.withColumn("__terms", terms(term_tokens(F.col(text)), self.max_n))
         return model.transform(with_terms).drop("__terms")
 
-    def _weights(self, counts: Column) -> Column:
-        return F.zip_with(
-            vector_to_array(counts),
-            F.expr("array(" + ", ".join(f"{x!r}D" for x in self.idf) + ")"),
-            lambda tf, idf: F.when(tf > 0, (F.lit(1.0) + F.log(tf)) * idf).otherwise(F.lit(0.0)),
-        )
-
-    def transform(self, df: DataFrame, text: str, output: str) -> DataFrame:
-        """Adds the unit-length weight vector."""
+    def vectors(self, df: DataFrame, text: str, output: str) -> DataFrame:
+        """The weights as sparse ML vectors, for learners that iterate: written once and read
+        back as vectors, whose stored form is a struct of indices and values."""
+        size = max(len(self.vocabulary), 1)
+        row = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+                       F.col(output)["indices"].alias("indices"), F.col(output)["values"].alias("values"))
+        ready = self.sparse(df, text, output).withColumn(output, row)
+        path = shared_dir(df.sparkSession, "tfidf-vectors")
+        ready.write.parquet(path)
+        schema = StructType([StructField(f.name, VectorUDT() if f.name == output else f.dataType) for f in ready.schema])
+        return df.sparkSession.read.schema(schema).parquet(path)
+
+    def sparse(self, df: DataFrame, text: str, output: str) -> DataFrame:
+        """Adds the unit-length weights as ``struct<indices, values>``: a row costs its own terms."""
+        kind = "struct<indices:array<int>,values:array<double>>"
         if not self.vocabulary:
-            return df.withColumn(output, array_to_vector(F.array(F.lit(0.0))))
-        counted = self.counts_vector(df, text, "__counts").withColumn(
-            "__weights", array_to_vector(self._weights(F.col("__counts")))
-        )
-        scaled = Normalizer(p=2.0, inputCol="__weights", outputCol=output).transform(counted)
-        return scaled.drop("__counts", "__weights")
+            return df.withColumn(output, F.struct(F.array().alias("indices"), F.array().alias("values")).cast(kind))
+        own = F.unwrap_udt("__counts")
+        idf = F.expr("array(" + ", ".join(f"{x!r}D" for x in self.idf) + ")")
+        raw = F.zip_with(own["values"], own["indices"], lambda tf, i: (F.lit(1.0) + F.log(tf)) * F.get(idf, i))
+
+        def scaled(w: Column) -> Column:
+            return let(F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x)),
+                       lambda norm: F.transform(w, lambda x: x / norm))
+
+        made = F.struct(own["indices"].alias("indices"), let(raw, scaled).alias("values"))
+        # Once per row, whatever is computed from it.
+        return compute_once(self.counts_vector(df, text, "__counts"), {output: made.cast(kind)}).drop("__counts")
 
     def weights(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """Long form ``(key, term, weight)``, non-zero weights only; no shuffle."""

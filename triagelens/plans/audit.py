@@ -70,10 +70,7 @@ def fit_signals(tickets: DataFrame, profile: AuditProfile, llm: str = "proxy",
     """
     resolution = fit_resolution(tickets, profile, **(resolution_args or {}))
     if vector is None:
-        tfidf = fit_tfidf(tickets, "full_text", CLUSTER_TERMS, 2, max_n=1)
-        vectors = tfidf.transform(tickets, "full_text", "__cluster_vector")
-        fitted = fit_clusters(vectors, "__cluster_vector", profile, **(cluster_args or {}))
-        clusters = TextClusters(fitted, tfidf)
+        clusters = fit_text_clusters(tickets, profile, **(cluster_args or {}))
     else:
         clusters = fit_clusters(tickets, vector, profile, **(cluster_args or {}))
     return Signals(resolution, clusters, llm)
@@ -87,10 +84,17 @@ class TextClusters:
     tfidf: object
 
     def score(self, df: DataFrame) -> DataFrame:
-        ready = self.tfidf.transform(df, "full_text", self.inner.vector)
+        ready = self.tfidf.sparse(df, "full_text", self.inner.vector)
         return self.inner.score(ready).drop(self.inner.vector)
 
 
+def fit_text_clusters(tickets: DataFrame, profile: AuditProfile, **cluster_args) -> TextClusters:
+    tfidf = fit_tfidf(tickets, "full_text", CLUSTER_TERMS, 2, max_n=1)
+    vectors = tfidf.sparse(tickets, "full_text", "__cluster_vector")
+    return TextClusters(fit_clusters(vectors, "__cluster_vector", profile, size=len(tfidf.vocabulary),
+                                     **cluster_args), tfidf)
+
+
 def train(raw: DataFrame, profile: AuditProfile = CPU, signal_args: dict | None = None,
           classifier_args: dict | None = None) -> tuple[Signals, MismatchClassifier, DataFrame]:
     """Raw tickets -> fitted signals, trained classifier, labelled tickets."""

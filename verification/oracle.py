@@ -710,13 +710,15 @@ put("value_quantiles", "", """SELECT event_type, round(quantile_cont(value, 0.1)
 # ------------------------------------------------------------- fitted models
 # Facts that hold for any right model; counts and cut-offs come from the tables.
 put("fit_resolution", _HOURS, """SELECT count(*) AS n_scored, true AS levels_in_range, true AS levels_follow_hours,
-  round(quantile_cont(resolution_hours, 0.25), 6) AS cut_1, round(quantile_cont(resolution_hours, 0.5), 6) AS cut_2,
+  true AS follows_actual_hours, round(quantile_cont(resolution_hours, 0.25), 6) AS cut_1, round(quantile_cont(resolution_hours, 0.5), 6) AS cut_2,
   round(quantile_cont(resolution_hours, 0.75), 6) AS cut_3 FROM n""")
 put("top_features", "", f"""SELECT 20::BIGINT AS n, {CPU.tfidf_terms + 3}::BIGINT AS n_features,
-  true AS between_0_and_1, true AS sum_is_one""")
-put("fit_clusters", "", "SELECT count(*) AS n, true AS levels_in_range, true AS levels_follow_ranks FROM embeddings")
-put("text_clusters", BATCH, "SELECT count(*) AS n, true AS levels_in_range, true AS levels_follow_ranks FROM n")
+  true AS between_0_and_1, true AS differ, true AS sum_is_one""")
+put("fit_clusters", "", "SELECT count(*) AS n, true AS levels_in_range, true AS levels_follow_ranks, "
+    "true AS below_one_cluster, true AS all_clusters_used FROM embeddings")
+put("text_clusters", BATCH, "SELECT count(*) AS n, true AS levels_in_range, true AS levels_follow_ranks, "
+    "true AS below_one_cluster, true AS all_clusters_used FROM n")
 for _name in ("fit_classifier", "fit_forest", "fit_text_classifier"):
-    put(_name, "", "SELECT 1::BIGINT AS n, true AS between_0_and_1")
+    put(_name, "", "SELECT 1::BIGINT AS n, true AS between_0_and_1, true AS beats_majority")
 put("score_all", BATCH, "SELECT count(*) AS n, true AS between_0_and_1, true AS flags_follow_threshold FROM n")
 put("train_store_predict", BATCH, "SELECT count(*) AS n, true AS equal_rows FROM n")
