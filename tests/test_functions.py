@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from triagelens.functions import lexicon as L
 from triagelens.functions import text as X
-from triagelens.functions.porter import stem
+from triagelens.functions.porter import IRREGULAR, STEP2, STEP3, STEP4, stem
 from triagelens.functions.rounding import fixed
-from triagelens.functions.rouge import common_length, grounded, recall, rouge_l_recall
+from triagelens.functions.rouge import common_tokens, grounded, rouge_l_recall
+from triagelens.functions.stem import stem_column
 from triagelens.operators.rules import score_rules
 from triagelens.profiles import CPU, FULL, LIVE, LIVE_FORM
 
@@ -105,12 +106,17 @@ def slow_lcs(a, b):
     return row[-1]
 
 
-def test_common_length_brute_force():
+def test_common_tokens_brute_force(spark):
+    """Short sides of one, two and several numbers of 62 bits, few and many different tokens."""
     rng = random.Random(1)
-    for _ in range(300):
-        a = [rng.choice("abcd") for _ in range(rng.randint(0, 30))]
-        b = [rng.choice("abcd") for _ in range(rng.randint(0, 90))]
-        assert common_length(a, b) == slow_lcs(a, b)
+    pairs = []
+    for i in range(120):
+        letters = "abcd" if i % 2 else [f"w{k}" for k in range(40)]
+        pairs.append(([rng.choice(letters) for _ in range(rng.choice((0, 1, 30, 61, 62, 63, 130, 260)))],
+                      [rng.choice(letters) for _ in range(rng.choice((0, 5, 62, 90, 200)))]))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
+    got = {r["i"]: r["n"] for r in df.select("i", common_tokens(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert got == {i: slow_lcs(a, b) for i, (a, b) in enumerate(pairs)}
 
 
 def test_recall_and_grounding(spark):
@@ -123,7 +129,22 @@ def test_recall_and_grounding(spark):
     assert [round(r["r"], 4) for r in rows] == [0.5, 0.0, round(1 / 6, 4), round(2 / 3, 4)]
     assert [r["ok"] for r in rows] == [True, False, False, True]
     assert [r["plain"] for r in rows] == [False, False, False, True]
-    assert recall("a b", "b a", False, {}) == 0.5
+    missing = spark.createDataFrame([(None, "a"), ("a", None)], "s string, g string")
+    assert missing.select(rouge_l_recall(s, g), grounded(s, g, 0.2)).collect() == [(None, False)] * 2
+
+
+def test_stem_columns_equal_the_stemmer(spark, sf_dir):
+    """All words of the documents, and made-up words full of the rules' endings."""
+    rng = random.Random(1)
+    ends = [s for s, _ in STEP2 + STEP3] + list(STEP4) + "ed ing ies sses s y e ll ied eed logi ss alli".split()
+    made = {"".join(rng.choice("yaeiobtlsz") for _ in range(rng.randint(0, 4))) + rng.choice(ends)
+            + rng.choice(["", "s", "ed", "ing", "e"]) for _ in range(4000)}
+    made |= {"".join(rng.choice("yab") for _ in range(rng.randint(1, 7))) for _ in range(1000)} | set(IRREGULAR)
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(
+        F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("w"))
+    rows = words.union(spark.createDataFrame([(w,) for w in made], "w string")).distinct().select(
+        "w", stem_column(F.col("w")).alias("s")).collect()
+    assert {r["w"]: r["s"] for r in rows if r["s"] != stem(r["w"])} == {}
 
 
 def test_stemmer_known_words():

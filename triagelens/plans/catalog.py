@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from triagelens import constants as K
 from triagelens.functions import text as X
-from triagelens.functions.rouge import grounded, rouge_l_recall, rouge_tokens
+from triagelens.functions.rouge import cached_stems, rouge_tokens, token_recall
 from triagelens.operators import analytics as A
 from triagelens.operators import classifier as C
 from triagelens.operators import clusters as U
@@ -595,19 +595,22 @@ def _passages(spark, sf) -> DataFrame:
     """Every whole document with one whole benchmark passage."""
     passages = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("generated"))
     n = passages.agg(F.count(F.lit(1))).scalar()
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("source"))
+    # The test table is one split; the caller deals it out, which the operator does not.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("source")).repartition(parts, "doc_id")
     return docs.withColumn("item_id", F.col("doc_id") % n).join(passages, "item_id")
 
 
 @query
 def grounding_rouge_l(spark, sf):
-    source, generated = F.col("source"), F.col("generated")
-    return _passages(spark, sf).select(
-        "doc_id", F.size(rouge_tokens(source)).alias("n_source"),
-        F.size(rouge_tokens(generated)).alias("n_generated"),
-        _r(rouge_l_recall(source, generated, False), "recall"),
-        _r(rouge_l_recall(source, generated, True), "recall_stemmed"),
-        grounded(source, generated, 0.25, False).alias("grounded"))
+    """Plain and stemmed recall of every pair."""
+    pairs = X.compute_once(_passages(spark, sf), {
+        "s": rouge_tokens(F.col("source")), "g": rouge_tokens(F.col("generated"))}).select(
+        "doc_id", "s", "g", cached_stems(F.col("s")).alias("ss"), cached_stems(F.col("g")).alias("sg"))
+    recall = token_recall(F.col("s"), F.col("g"))
+    return X.compute_once(pairs, {"r": recall}).select(
+        "doc_id", F.size("s").alias("n_source"), F.size("g").alias("n_generated"), _r("r", "recall"),
+        _r(token_recall(F.col("ss"), F.col("sg")), "recall_stemmed"), (F.col("r") >= 0.25).alias("grounded"))
 
 
 @query

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from triagelens import constants as K
 from triagelens.operators.metrics import sweep_thresholds
+from verification.stem_sql import stem_ctes
 from triagelens.profiles import CPU, FULL, LIVE, LIVE_FORM, AuditProfile
 from triagelens.sources.views import CHANNELS, PHRASES, PRIORITIES
 
@@ -634,6 +635,22 @@ put("grounding_tokens", "", """SELECT d.doc_id, len(regexp_extract_all(lower(d.t
   len(regexp_extract_all(lower(b.text), '[a-z0-9]+'))::INTEGER AS n_generated FROM documents d
   JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""")
 
+_PASSAGES = f"""pairs AS (SELECT d.doc_id, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS st,
+  regexp_extract_all(lower(b.text), '[a-z0-9]+') AS rt FROM documents d
+  JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+toks AS (SELECT doc_id, 's' AS side, unnest(st) AS w, generate_subscripts(st, 1) AS i FROM pairs
+  UNION ALL SELECT doc_id, 'r', unnest(rt), generate_subscripts(rt, 1) FROM pairs),
+words AS (SELECT DISTINCT w FROM toks), {stem_ctes('words')},
+stemmed AS (SELECT doc_id, list(coalesce(stem, toks.w) ORDER BY i) FILTER (side = 's') AS st,
+  list(coalesce(stem, toks.w) ORDER BY i) FILTER (side = 'r') AS rt FROM toks LEFT JOIN stems ON toks.w = stems.w GROUP BY doc_id),
+both_forms AS (SELECT doc_id, 0 AS form, st, rt FROM pairs UNION ALL SELECT doc_id, 1, st, rt FROM stemmed),
+matrix AS (SELECT doc_id, form, len(st) AS n, list_concat([list_transform(rt, lambda r: 0)],
+  list_transform(st, lambda s: list_transform(rt, lambda r: (r = s)::INT))) AS rows FROM both_forms WHERE len(st) > 0 AND len(rt) > 0),
+recalls AS (SELECT doc_id, form, coalesce(list_max(list_reduce(rows, lambda acc, m: {_LCS_ROW})), 0) / n::DOUBLE AS recall FROM matrix)"""
+put("grounding_rouge_l", _PASSAGES, """SELECT p.doc_id, len(p.st)::INTEGER AS n_source, len(p.rt)::INTEGER AS n_generated,
+  round(coalesce(a.recall, 0), 6) AS recall, round(coalesce(b.recall, 0), 6) AS recall_stemmed, coalesce(a.recall, 0) >= 0.25e0 AS grounded
+  FROM pairs p LEFT JOIN recalls a ON a.doc_id = p.doc_id AND a.form = 0 LEFT JOIN recalls b ON b.doc_id = p.doc_id AND b.form = 1""")
+
 # ----------------------------------------------------------------- analytics
 _CPU = labelled(CPU)
 put("kpis", _CPU, """SELECT count(*) AS total, sum(mismatch)::BIGINT AS mismatched, round(avg(mismatch), 6) AS mismatch_rate,
