@@ -188,6 +188,16 @@ def test_suffix_dedup(spark, sf_dir, docs, block, monkeypatch):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want
 
 
+def test_suffix_dedup_of_equal_rows(spark):
+    """Many rows without an id and with one text: removed whole, and each span is kept once."""
+    text = " ".join(f"word{i}" for i in range(120))
+    rows = spark.createDataFrame([(None, text)] * 300 + [(1, "short")], "doc_id long, text string").repartition(4)
+    out = suffix_dedup.suffix_dedup(rows).collect()
+    assert len(out) == 301
+    assert {(r["doc_id"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["changed"]) for r in out} == {
+        (None, len(text), 1, sha(b""), True), (1, 0, 0, sha(b"short"), False)}
+
+
 def test_suffix_dedup_of_odd_texts(odd):
     rows = by_id(suffix_dedup.suffix_dedup(odd))
     for r, want in zip(ODD, repeats([(r[1] or "")[:3000].encode() for r in ODD], 400), strict=True):

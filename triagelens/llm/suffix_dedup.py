@@ -280,13 +280,14 @@ def repeated_windows(texts: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """Key, bytes, removed bytes, removed runs and the digest of what is kept."""
+    """Key, bytes, removed bytes, removed runs, the digest of what is kept, and whether anything
+    was removed."""
     t = whole(F.col(text))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("hash"), t.alias("text"))
     runs = repeated_windows(texts, least)
-    spans = stored(runs.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "count")).alias("spans")).select(
+    spans = stored(runs.groupBy("id", "hash").agg(F.collect_set(F.struct("start", "count")).alias("spans")).select(
         F.col("id").alias("_id"), F.col("hash").alias("_hash"), "spans"), "spans")
     rows = texts.join(spans, (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id")), "left")
     made = rows.select("id", "text", "spans").mapInPandas(
         kept(least), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return made.withColumnRenamed("doc_id", key)
+    return made.withColumnRenamed("doc_id", key).withColumn("changed", F.col("n_removed") > 0)
