@@ -19,6 +19,7 @@ from triagelens.operators.quantiles import exact_quantiles
 from triagelens.operators.resolution import fit_resolution
 from triagelens.plans import audit as P
 from triagelens.plans.catalog import canonical, labelled
+from triagelens.plans.storage import load_run, save_run, versions
 from triagelens.profiles import CPU, FULL
 from triagelens.sources import tickets as S
 
@@ -207,3 +208,24 @@ def test_train_and_predict_end_to_end(spark, sf_dir):
     levels = scored.select("severity_resolution", "severity_cluster", "severity_fused").distinct()
     assert all(1 <= v <= 4 for r in levels.collect() for v in r)
     assert dossiers.count() == scored.filter("mismatch_pred = 1").count()
+
+
+def test_a_run_is_published_as_one_whole(spark, sf_dir, tmp_path, monkeypatch):
+    """A run that is lost between its parts leaves the one before in force."""
+    df = labelled(spark, sf_dir)
+    model = C.train_classifier(df, trees=2, max_depth=2, max_terms=10)
+    signals, path = P.Signals(), str(tmp_path / "runs")
+    first = save_run(spark, signals, model, path)
+
+    def lost(self, where):
+        raise RuntimeError("the session is lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(C.MismatchClassifier, "save", lost)
+        with pytest.raises(RuntimeError):
+            save_run(spark, signals, model, path)
+    assert versions(spark, path) == [first]
+    model.threshold = 0.61
+    second = save_run(spark, signals, model, path)
+    assert load_run(spark, path)[1].threshold == 0.61
+    assert load_run(spark, path, first)[1].threshold != 0.61 and versions(spark, path) == [first, second]

@@ -46,10 +46,3 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = os.path.join(tempfile.gettempdir(), "triagelens-scratch")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-
-def keep_lineage_short(spark: SparkSession) -> None:
-    """Long boosting runs cut their lineage in a checkpoint folder; name one if none is."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
