@@ -2,6 +2,7 @@
 
 import json
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -229,3 +230,40 @@ def test_a_run_is_published_as_one_whole(spark, sf_dir, tmp_path, monkeypatch):
     second = save_run(spark, signals, model, path)
     assert load_run(spark, path)[1].threshold == 0.61
     assert load_run(spark, path, first)[1].threshold != 0.61 and versions(spark, path) == [first, second]
+
+
+def test_prompts_are_asked_once(spark, tmp_path):
+    """Equal prompts are one question, a lost block is asked again, answered ones are not."""
+    rows = [(str(i), f"subject {i % 30}", "text", "Web", "General") for i in range(90)]
+    df = spark.createDataFrame(
+        rows, "ticket_id string, ticket_subject string, ticket_description string, ticket_channel string, ticket_type string")
+    log, answers = tmp_path / "asked", str(tmp_path / "answers")
+    log.mkdir()
+
+    def scorer(broken):
+        def make():
+            def run(prompts):
+                if broken and any("subject 7\n" in p or "subject 7 " in p or "subject 7" in p for p in prompts):
+                    raise RuntimeError("out of memory")
+                for p in prompts:
+                    (log / uuid.uuid4().hex).write_text(p)
+                return ['{"severity": 3, "reason": "r"}'] * len(prompts)
+            return run
+        return make
+
+    with pytest.raises(RuntimeError):
+        Z.score_stored(df, scorer(True), answers, blocks=4, most_failed=0.0)
+    out = Z.score_stored(df, scorer(False), answers, blocks=4).collect()
+    assert len(out) == 90 and {(r["severity_llm"], r["answer_source"]) for r in out} == {(3, "model")}
+    asked = [f.read_text() for f in log.iterdir()]
+    assert len(set(asked)) == 30 and len(asked) < 60
+    before = len(asked)
+    again = Z.score_stored(df, scorer(True), answers, most_failed=0.0)
+    assert again.filter("severity_llm = 3").count() == 90 and len(list(log.iterdir())) == before
+
+
+def test_template_needs_all_three_columns(spark):
+    whole = spark.createDataFrame([("s", "d", "Low")], "`Subject` string, description string, `Priority Level` string")
+    assert N.check_template(whole, FULL) is whole
+    with pytest.raises(ValueError, match="ticket_description"):
+        N.check_template(whole.drop("description"), FULL)

@@ -46,6 +46,13 @@ def check_columns(df: DataFrame, required=("ticket_priority",)) -> DataFrame:
     return df
 
 
+def check_template(df: DataFrame, profile: AuditProfile) -> DataFrame:
+    """Uploaded tables need subject, description and priority under any of their names; fails
+    before any job runs.  Training tables may lack the texts, which ``normalise`` fills."""
+    check_columns(alias_columns(normalise_names(df), profile), K.REQUIRED_COLUMNS)
+    return df
+
+
 def with_positions(df: DataFrame, column: str, stable: bool = True) -> DataFrame:
     """Adds the 0-based row position without moving any row.
 

@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelens import constants as K
 from triagelens.functions.lexicon import rule_text
 from triagelens.functions.text import compute_once, contains_count, let, snippet
+from triagelens.session import shared_dir
 
 # A scorer takes prompts and returns one raw answer (or None) per prompt.
 Scorer = Callable[[list[str]], list[str | None]]
@@ -118,13 +120,7 @@ def score_answers(df: DataFrame, answer: Column) -> DataFrame:
                  F.coalesce(F.col("__parsed"), fallback)).drop("__parsed")
 
 
-def score_with(df: DataFrame, make_scorer: Callable[[], Scorer], batch: int = 64) -> DataFrame:
-    """Run a user model over all tickets.
-
-    ``make_scorer`` is called once per task, so a model is loaded once and then fed
-    Arrow batches of prompts alone.  Answers are parsed, and failed rows replaced, on the
-    JVM side.
-    """
+def _asked(make_scorer: Callable[[], Scorer], batch: int):
     @F.pandas_udf("string")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = make_scorer()
@@ -139,11 +135,63 @@ def score_with(df: DataFrame, make_scorer: Callable[[], Scorer], batch: int = 64
                     answers += [None] * len(part)
             yield pd.Series(answers, dtype=object)
 
+    return ask
+
+
+def score_with(df: DataFrame, make_scorer: Callable[[], Scorer], batch: int = 64) -> DataFrame:
+    """Run a user model over all tickets.
+
+    ``make_scorer`` is called once per task, so a model is loaded once and then fed
+    Arrow batches of prompts alone.  Answers are parsed, and failed rows replaced, on the
+    JVM side.
+    """
+    ask = _asked(make_scorer, batch)
     asked = df.withColumn("__answer", ask(prompt(*[
         F.col(c) for c in ("ticket_subject", "ticket_description", "ticket_channel", "ticket_type")])))
     return score_answers(asked, F.col("__answer")).drop("__answer")
 
 
+def score_stored(df: DataFrame, make_scorer: Callable[[], Scorer], answers: str, blocks: int = 8,
+                 batch: int = 64, most_failed: float = 0.5) -> DataFrame:
+    """As ``score_with``, with the answers kept in a table: equal prompts are asked once, and
+    prompts that have an answer there are not asked again.
+
+    New prompts are asked in ``blocks`` jobs, each of which appends its answers, so a lost session
+    costs one block.  Prompts without an answer fall back row by row and are asked again by the
+    next run; a block fails when more than ``most_failed`` of its prompts have none.
+    """
+    spark = df.sparkSession
+    text = prompt(*[F.col(c) for c in ("ticket_subject", "ticket_description", "ticket_channel", "ticket_type")])
+    prompted = compute_once(df, {"__prompt": text}).withColumn("__digest", F.sha2("__prompt", 256))
+    schema = "digest string, answer string"
+    todo = prompted.groupBy(F.col("__digest").alias("digest")).agg(F.first("__prompt").alias("prompt"))
+    if _has_table(spark, answers):
+        todo = todo.join(spark.read.schema(schema).parquet(answers).select("digest"), "digest", "left_anti")
+    path = shared_dir(spark, "prompts")
+    todo.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("int")).write.partitionBy("block").parquet(path)
+    waiting = spark.read.schema("digest string, prompt string, block int").parquet(path)
+    for block in range(blocks):
+        part = f"{path}-answers-{block}"
+        waiting.filter(F.col("block") == block).select(
+            "digest", _asked(make_scorer, batch)(F.col("prompt")).alias("answer")).write.parquet(part)
+        made = spark.read.schema(schema).parquet(part)
+        failed = made.agg(F.avg(F.col("answer").isNull().cast("double"))).first()[0]
+        if failed is not None and failed > most_failed:
+            raise RuntimeError(f"{failed:.0%} of the prompts of a block have no answer")
+        made.filter(F.col("answer").isNotNull()).write.mode("append").parquet(answers)
+    found = spark.read.schema(schema).parquet(answers).dropDuplicates(["digest"])
+    joined = prompted.join(found, F.col("__digest") == F.col("digest"), "left").drop("__prompt", "__digest", "digest")
+    return score_answers(joined, F.col("answer")).drop("answer")
+
+
+def _has_table(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
 def ship_by_value() -> None:
     """Send this package's functions to executors inside the closure, so that they need
     no installed copy."""

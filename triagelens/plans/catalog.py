@@ -248,6 +248,24 @@ def custom_scorer(spark, sf):
     return Z.score_with(df, stub_scorer).select("ticket_id", "severity_llm", "llm_reason")
 
 
+def silent_scorer():
+    """A model that answers nothing."""
+    def run(prompts):
+        raise RuntimeError("no model")
+    return run
+
+
+@query
+def stored_scorer(spark, sf):
+    """Answers stored by a first run; the second has no model and finds them all."""
+    df = canonical(spark, sf, FULL).select(
+        "ticket_id", "ticket_subject", "ticket_description", "ticket_channel", "ticket_type")
+    answers = shared_dir(spark, "answers")
+    Z.score_stored(df, stub_scorer, answers)
+    return Z.score_stored(df, silent_scorer, answers, most_failed=1.0).select(
+        "ticket_id", "severity_llm", "llm_reason")
+
+
 # --------------------------------------------------------------- resolution
 @query
 def tfidf_weights(spark, sf):
@@ -717,6 +735,13 @@ def robustness_report(spark, sf):
     return B.robustness_report(B.score_cases(cases(spark, sf)))
 
 
+@query
+def case_results(spark, sf):
+    """One line per case."""
+    return B.case_results(B.score_cases(cases(spark, sf))).select(
+        "ticket_id", "expected_type", "mismatch_type", "expected_mismatch", "mismatch_pred", "correct")
+
+
 @query
 def type_confusion(spark, sf):
     return B.type_confusion(B.score_cases(cases(spark, sf)))

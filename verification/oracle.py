@@ -322,6 +322,7 @@ pl AS (SELECT ticket_id, length({_PROMPT}) AS c FROM n)""", """SELECT ticket_id,
   CASE WHEN c % 6 = 5 THEN h.severity_llm ELSE least(greatest(c % 6, 1), 4)::INTEGER END AS severity_llm,
   CASE WHEN c % 6 = 5 THEN h.llm_reason ELSE 'length ' || c::VARCHAR END AS llm_reason
   FROM pl JOIN h USING (ticket_id)""")
+SQL["stored_scorer"] = SQL["custom_scorer"]
 
 # --------------------------------------------------------------- resolution
 put("tfidf_weights", f"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS}{{2,}}') AS t FROM documents),
@@ -711,6 +712,9 @@ _CASES = ",\n".join([RAW, f"""cs AS (SELECT ticket_id, {clean('ticket_subject')}
 put("robustness_report", _CASES, """SELECT count(*) AS n_cases,
   count(*) FILTER (mismatch = (expected_type <> 'Consistent')::INT) AS n_correct,
   count(*) FILTER (mismatch = (expected_type <> 'Consistent')::INT) >= 0.7e0 * count(*) AS passed FROM f""")
+put("case_results", _CASES, """SELECT ticket_id, expected_type, mismatch_type,
+  (expected_type <> 'Consistent')::INT AS expected_mismatch, mismatch AS mismatch_pred,
+  mismatch = (expected_type <> 'Consistent')::INT AS correct FROM f""")
 put("type_confusion", _CASES, "SELECT expected_type, mismatch_type, count(*) AS n FROM f GROUP BY ALL")
 
 # ------------------------------------------------------------ sinks, streams
