@@ -34,7 +34,7 @@ from triagelens.plans.storage import load_run, save_run
 from triagelens.profiles import CPU, FULL, LIVE, LIVE_FORM, AuditProfile
 from triagelens.session import shared_dir
 from triagelens.sources import tickets as S
-from triagelens.sources.views import conversation_tickets, table, tickets
+from triagelens.sources.views import conversation_tickets, table, tickets, tickets_from
 from triagelens.streaming.audit import audit_stream, start_audit
 
 QUERIES = {}
@@ -786,22 +786,41 @@ def run_summary(spark, sf):
     return back.withColumn("mismatch_rate", F.round("mismatch_rate", DIGITS))
 
 
-@query
-def stream_audit(spark, sf):
-    """The events as a stream, joined with the static documents and audited."""
-    from triagelens.sources.views import tickets_from
-
-    static = table(spark, sf, "events")
-    events = spark.readStream.schema(static.schema).parquet(f"{sf}/events.parque[t]")
+def _audited(spark: SparkSession, events: DataFrame, sf: str, path: str) -> None:
+    """One run of the stream until its source is read to the end."""
     stream = tickets_from(events, table(spark, sf, "documents"))
-    path = shared_dir(spark, "stream")
     start_audit(audit_stream(stream), f"{path}/out", f"{path}/checkpoint",
                 available_now=True).awaitTermination()
+
+
+def _answers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").select(
         "ticket_id", "outcome", "severity_fused", "mismatch_pred", "mismatch_type",
         _r("mismatch_confidence", "confidence"), _joined("rule_keywords").alias("keywords"))
 
 
+@query
+def stream_audit(spark, sf):
+    """The events as a stream, joined with the static documents and audited."""
+    path = shared_dir(spark, "stream")
+    schema = table(spark, sf, "events").schema
+    _audited(spark, spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]"), sf, path)
+    return _answers(spark, path)
+
+
+@query
+def stream_resumed(spark, sf):
+    """The same over several files and batches: stopped after some, gone on with when more have
+    come; every request is answered once."""
+    path, events = shared_dir(spark, "stream"), table(spark, sf, "events")
+    for early in (True, False):
+        events.filter((F.col("event_id") % 3 == 0) == early).repartition(3, "event_id").write.mode("append").parquet(
+            f"{path}/in")
+        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+        _audited(spark, source, sf, path)
+    return _answers(spark, path)
+
+
 # ------------------------------------------------------------- fitted models
 # Arguments of the registered fits.  Empty: the library's defaults, which are the full
 # sizes.  Tests put smaller ones here.
@@ -946,7 +965,7 @@ def fit_text_classifier(spark, sf):
     return _measured(_fitted(spark, sf, "text", lambda: C.train_text_classifier(df, **FIT_ARGS["text"])).metrics, df, 0.0)
 
 
-def _flags(scored: DataFrame, threshold: float) -> list[Column]:
+def _flags_of(threshold: float) -> list[Column]:
     confidence = F.col("mismatch_confidence")
     return [
         F.count(F.lit(1)).alias("n"), _all(confidence.between(0, 1), "between_0_and_1"),
@@ -961,7 +980,7 @@ def score_all(spark, sf):
     model.save(path)
     loaded = C.MismatchClassifier.load(spark, path)
     scored = loaded.score(df)
-    return scored.agg(*_flags(scored, loaded.threshold))
+    return scored.agg(*_flags_of(loaded.threshold))
 
 
 @query
@@ -982,6 +1001,13 @@ def train_store_predict(spark, sf):
         F.count(F.lit(1)).alias("n"), _all(same, "equal_rows"))
 
 
+@query
+def classified_cases(spark, sf):
+    """The labelled cases judged by the trained classifier."""
+    _, model, _ = _run(spark, sf)
+    return B.score_cases(cases(spark, sf), model).agg(*_flags_of(model.threshold))
+
+
 @query
 def value_quantiles(spark, sf):
     """Exact quantiles per event type."""

@@ -725,6 +725,7 @@ put("predictions_roundtrip", _CPU, """SELECT ticket_id, ticket_subject, ticket_p
 put("run_summary", labelled(FULL), _BREAKDOWN)
 put("stream_audit", live(LIVE), f"""SELECT ticket_id, 'audited' AS outcome, severity_fused, mismatch AS mismatch_pred,
   mismatch_type, round(abs(severity_delta) / 3e0, 6) AS confidence, {pipe('rule_keywords')} AS keywords FROM f""")
+SQL["stream_resumed"] = SQL["stream_audit"]
 put("value_quantiles", "", """SELECT event_type, round(quantile_cont(value, 0.1), 6) AS p10,
   round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1""")
 
@@ -742,4 +743,6 @@ put("text_clusters", BATCH, "SELECT count(*) AS n, true AS levels_in_range, true
 for _name in ("fit_classifier", "fit_forest", "fit_text_classifier"):
     put(_name, "", "SELECT 1::BIGINT AS n, true AS between_0_and_1, true AS beats_majority")
 put("score_all", BATCH, "SELECT count(*) AS n, true AS between_0_and_1, true AS flags_follow_threshold FROM n")
+put("classified_cases", "", """SELECT count(*) AS n, true AS between_0_and_1, true AS flags_follow_threshold
+  FROM events""")
 put("train_store_predict", BATCH, "SELECT count(*) AS n, true AS equal_rows FROM n")
