@@ -111,7 +111,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key <<= np.uint64(bits)
         key[:n - k] += (text[k:] + 1).astype(np.uint64)
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal ones in any order: intervals go by the first symbols
         k = key[order]
         rank = np.zeros(n, dtype=np.int64)
         rank[order] = np.cumsum(np.concatenate([[1], (k[1:] != k[:-1]).astype(np.int64)]))
