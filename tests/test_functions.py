@@ -160,3 +160,11 @@ def test_stemmer_known_words():
         "roll": "roll", "dies": "die", "tried": "tri", "dying": "die",
     }
     assert {w: stem(w) for w in known} == known
+
+
+def test_words_found_against_plain_python(spark):
+    words = ("data loss", "loss", "a", "ab", "abc", "security", "critical", "urgent")
+    texts = ["xabcx abx", "data lossecurity", "criticalurgent", "", None, "nothing here? no", "AB", "\u00e9a\u20acab"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r["id"]: r["w"] for r in df.select("id", X.words_found(F.col("t"), words).alias("w")).collect()}
+    assert got == {i: None if t is None else [w for w in words if w in t] for i, t in enumerate(texts)}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from triagelens import constants as K
 from triagelens.functions.lexicon import rule_text
-from triagelens.functions.text import compute_once, contains_count, let, snippet
+from triagelens.functions.text import compute_once, let, snippet, words_found
 from triagelens.session import shared_dir
 
 # A scorer takes prompts and returns one raw answer (or None) per prompt.
@@ -66,14 +66,20 @@ def heuristic(subject: Column, description: Column) -> Column:
     original = F.concat(subject, F.lit(" "), description)
 
     def count(text: Column) -> Column:
-        positions = [F.nullif(F.instr(text, F.lit(w)), F.lit(0))
-                     for w in K.HEURISTIC_CRITICAL + K.HEURISTIC_HIGH]
-        return F.struct(
-            contains_count(text, K.HEURISTIC_CRITICAL).alias("critical"),
-            contains_count(text, K.HEURISTIC_HIGH).alias("high"),
-            contains_count(text, K.HEURISTIC_LOW).alias("low"),
-            F.coalesce(*positions).alias("first"),
-        )
+        def parts(found: Column) -> Column:
+            def of(level: tuple[str, ...]) -> Column:
+                return F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in level])))
+
+            grave = F.get(found, F.lit(0))  # in list order: critical words before high ones
+            return F.struct(
+                of(K.HEURISTIC_CRITICAL).alias("critical"),
+                of(K.HEURISTIC_HIGH).alias("high"),
+                of(K.HEURISTIC_LOW).alias("low"),
+                F.when(grave.isin(*K.HEURISTIC_CRITICAL, *K.HEURISTIC_HIGH),
+                       F.call_function("instr", text, grave)).alias("first"),
+            )
+
+        return let(words_found(text, K.HEURISTIC_CRITICAL + K.HEURISTIC_HIGH + K.HEURISTIC_LOW), parts)
 
     def judge(row: Column) -> Column:
         severity = (
