@@ -1,4 +1,4 @@
-"""TF-IDF with a bounded vocabulary: one shuffle to learn it, none to apply it.
+"""TF-IDF with a bounded vocabulary: a shuffle of possible top terms to learn it, none to apply it.
 
 Tokens have two or more word characters; terms are tokens and pairs of neighbouring
 tokens.  Term weights are ``(1 + ln tf) * idf`` with ``idf = ln((1+n)/(1+df)) + 1``,
@@ -8,8 +8,13 @@ rows have unit length.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -109,40 +114,116 @@ class TfIdf:
         )
 
 
+#: Rows whose most frequent terms set the threshold; they decide the cost, never the result.
+HINT_ROWS = 400
+#: Different terms that a task counts at once before it hands them on.
+TERMS_AT_ONCE = 500_000
+
+
+def _counts(batches: Iterator[pa.RecordBatch], max_n: int,
+            asked: frozenset[str] | None = None) -> Iterator[tuple[int, Counter, Counter]]:
+    """Number of rows, occurrences of terms and rows with them (with the asked ones, if given),
+    for slices of a task's rows of tokens between blanks."""
+    rows, total, spread = 0, Counter(), Counter()
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            rows += 1
+            found = line.split()
+            if max_n == 2:
+                found += [f"{a} {b}" for a, b in zip(found, found[1:])]
+            total.update(found)
+            spread.update(set(found) if asked is None else asked.intersection(found))
+            if len(total) > TERMS_AT_ONCE:
+                yield rows, total, spread
+                rows, total, spread = 0, Counter(), Counter()
+    yield rows, total, spread
+
+
+def _cells(names: list[str], width: int) -> np.ndarray:
+    """Two cells for every term, from independent halves of one digest."""
+    digest = pd.util.hash_array(np.array(names, dtype=object), categorize=False)
+    low, high = digest & np.uint64(0xFFFFFFFF), digest >> np.uint64(32)
+    return np.stack([low % np.uint64(width), high % np.uint64(width) + np.uint64(width)]).astype(np.int64)
+
+
+def _exact(lines: DataFrame, max_n: int, possible: np.ndarray | None = None) -> DataFrame:
+    """Exact ``(term, cf, df)``; with a table of possible cells, of no other terms."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, total, spread in _counts(batches, max_n):
+            names = list(total)
+            if possible is not None and names:
+                kept = possible[_cells(names, len(possible) // 2)].all(axis=0)
+                names = [names[i] for i in np.flatnonzero(kept)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array([total[t] for t in names], pa.int64()),
+                 pa.array([spread[t] for t in names], pa.int64())], names=["term", "cf", "df"])
+
+    counted = lines.mapInArrow(partial, "term string, cf long, df long")
+    return counted.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+
+
+def _sketch(lines: DataFrame, max_n: int, hints: list[str], width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, ``(cf, df)`` of the hinted terms, and the count-min sketch of all terms.
+
+    A task gives one row for each of its cells, however many different terms it reads."""
+    place = {t: i for i, t in enumerate(hints)}
+    asked = frozenset(hints)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(2 * width + 2 * len(hints) + 1, np.int64)
+        for rows, total, spread in _counts(batches, max_n, asked):
+            out[-1] += rows
+            if total:
+                numbers = np.fromiter(total.values(), np.int64, len(total))
+                for cells in _cells(list(total), width):
+                    np.add.at(out, cells, numbers)
+            for term in spread:
+                at = 2 * width + 2 * place[term]
+                out[at] += total[term]
+                out[at + 1] += spread[term]
+        used = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(out[used])], names=["cell", "n"])
+
+    summed = lines.mapInArrow(partial, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * width + 2 * len(hints) + 1, np.int64)
+    out[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    return int(out[-1]), out[2 * width:-1].reshape(-1, 2), out[: 2 * width]
+
+
+def candidate_terms(df: DataFrame, text: str, max_terms: int, min_df: int, max_n: int = 2) -> tuple[int, DataFrame]:
+    """Number of rows, and exact counts of every term that may be one of the ``max_terms`` most
+    frequent ones with ``min_df`` rows or more.
+
+    The most frequent terms of some rows are counted exactly along with a count-min sketch of
+    all terms.  If ``max_terms`` of them qualify, the least of their counts is a lower bound for
+    the last place; as a cell never holds less than its terms' counts, a term with a smaller cell
+    cannot be kept and is not shuffled.  Otherwise all terms are counted.
+    """
+    if max_n not in (1, 2):
+        raise ValueError("terms are built from one or two tokens")
+    lines = df.select(F.concat_ws(" ", term_tokens(F.col(text))).alias("w"))
+    width = 1 << min(max((64 * max_terms).bit_length(), 16), 21)
+    some = _exact(lines.limit(HINT_ROWS), max_n).orderBy(F.desc("cf"), "term").limit(max_terms * 2)
+    hints = [r["term"] for r in some.collect()]
+    n, exact, cells = _sketch(lines, max_n, hints, width)
+    known = np.sort(exact[exact[:, 1] >= min_df, 0])[::-1]
+    least = known[max_terms - 1] if 0 < max_terms <= len(known) else 0
+    return n, _exact(lines, max_n, cells >= least if least > 1 else None)
+
+
 def fit_tfidf(
     df: DataFrame, text: str, max_terms: int, min_df: int, max_n: int = 2
 ) -> TfIdf:
     """Keep the ``max_terms`` most frequent terms found in ``min_df`` or more rows.
 
-    Every row contributes its terms once for the corpus count and its distinct terms
-    once for the row count, so a single aggregation by term (combined before the
-    shuffle) yields both, and no shuffle by row is needed.  Ties go to the
-    alphabetically first term.
+    Exact, with ties going to the alphabetically first term; only terms that may be kept are
+    shuffled (``candidate_terms``).  Texts are read twice; a missing text counts as a row without terms.
     """
     if max_terms > MAX_TERMS:
         raise ValueError(f"max_terms must not exceed {MAX_TERMS}")
-    rows = compute_once(
-        df.select(text), {"t": terms(term_tokens(F.col(text)), max_n)}
-    ).select("t")
-    marked = rows.select(
-        F.explode(
-            F.concat(
-                F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"),
-                                                    F.lit(0).alias("d"))),
-                F.transform(F.array_distinct("t"),
-                            lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"),
-                                               F.lit(1).alias("d"))),
-            )
-        ).alias("x")
-    )
-    kept = (
-        marked.groupBy("x.term").agg(F.sum("x.c").alias("cf"), F.sum("x.d").alias("df"))
-        .filter(F.col("df") >= min_df)
-        .orderBy(F.desc("cf"), "term")
-        .limit(max_terms)
-        .collect()
-    )
-    n = df.count()
+    n, counted = candidate_terms(df, text, max_terms, min_df, max_n)
+    kept = counted.filter(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_terms).collect()
     chosen = sorted((r["term"], r["df"]) for r in kept)
     return TfIdf(
         tuple(t for t, _ in chosen),
