@@ -124,7 +124,7 @@ SEED_ROWS = 2_000
 AT_ONCE = 4_096
 
 
-def _matrices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarray]:
+def unit_matrices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarray]:
     """The first column as dense unit rows: arrays, or sparse rows of ``indices`` and ``values``."""
     for batch in batches:
         for begin in range(0, batch.num_rows, AT_ONCE):
@@ -159,7 +159,7 @@ class Centers:
         return len(self.centers)
 
     def _label(self, column: pa.Array) -> pd.Series:
-        found = [_gaps(x, self.centers).argmin(axis=1) for x in _matrices(
+        found = [_gaps(x, self.centers).argmin(axis=1) for x in unit_matrices(
             [pa.record_batch([column], names=["v"])], self.centers.shape[1])]
         return pd.Series(np.concatenate(found) if found else np.zeros(0, np.int64))
 
@@ -194,7 +194,7 @@ class Centers:
 def _starts(rows: DataFrame, size: int, k: int, restarts: int, seed: int) -> np.ndarray:
     """Starting centres of every restart, far from each other (k-means++), among a bounded
     number of rows."""
-    some = list(_matrices(rows.limit(SEED_ROWS).toArrow().to_batches(), size))
+    some = list(unit_matrices(rows.limit(SEED_ROWS).toArrow().to_batches(), size))
     x = np.concatenate(some) if some else np.zeros((0, size))
     out = np.zeros((restarts, k, size))
     for r in range(restarts if len(x) else 0):
@@ -217,7 +217,7 @@ def _pass(rows: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((restarts * k, size + 2))
-        for x in _matrices(batches, size):
+        for x in unit_matrices(batches, size):
             gaps = _gaps(x, flat).reshape(len(x), restarts, k)
             nearest = gaps.argmin(axis=2)
             mark = np.zeros((len(x), restarts * k))

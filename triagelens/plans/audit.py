@@ -14,12 +14,13 @@ from triagelens.operators.classifier import (
     train_classifier,
 )
 from triagelens.operators.clusters import ClusterModel, fit_clusters
+from triagelens.operators.components import Components, fit_components
 from triagelens.operators.dossier import build_dossiers
 from triagelens.operators.fusion import fuse
 from triagelens.operators.normalise import normalise
 from triagelens.operators.resolution import ResolutionModel, fit_resolution, score_default
 from triagelens.operators.rules import score_rules
-from triagelens.operators.tfidf import fit_tfidf
+from triagelens.operators.tfidf import TfIdf, fit_tfidf
 from triagelens.profiles import CPU, AuditProfile
 from triagelens.session import shared_dir
 
@@ -78,21 +79,36 @@ def fit_signals(tickets: DataFrame, profile: AuditProfile, llm: str = "proxy",
 
 @dataclass
 class TextClusters:
-    """Cluster model over TF-IDF vectors that it builds itself."""
+    """Cluster model over vectors that it builds itself: TF-IDF rows, or their projections."""
 
     inner: ClusterModel
-    tfidf: object
+    tfidf: TfIdf
+    components: Components | None = None
+
+    def vectors(self, df: DataFrame) -> DataFrame:
+        """Adds the vector column that the clusters are made of."""
+        name = self.inner.vector
+        ready = self.tfidf.sparse(df, "full_text", name)
+        return ready if self.components is None else ready.withColumn(name, self.components.project(F.col(name)))
 
     def score(self, df: DataFrame) -> DataFrame:
-        ready = self.tfidf.sparse(df, "full_text", self.inner.vector)
-        return self.inner.score(ready).drop(self.inner.vector)
+        return self.inner.score(self.vectors(df)).drop(self.inner.vector)
 
 
-def fit_text_clusters(tickets: DataFrame, profile: AuditProfile, **cluster_args) -> TextClusters:
+def fit_text_clusters(tickets: DataFrame, profile: AuditProfile, rank: int | None = None,
+                      component_args: dict | None = None, **cluster_args) -> TextClusters:
+    """Clusters of the tickets' texts.  With ``rank``, of dense vectors of that many dimensions:
+    projections on the leading singular vectors of the TF-IDF rows."""
+    name = "__cluster_vector"
     tfidf = fit_tfidf(tickets, "full_text", CLUSTER_TERMS, 2, max_n=1)
-    vectors = tfidf.sparse(tickets, "full_text", "__cluster_vector")
-    return TextClusters(fit_clusters(vectors, "__cluster_vector", profile, size=len(tfidf.vocabulary),
-                                     **cluster_args), tfidf)
+    size = len(tfidf.vocabulary)
+    vectors = tfidf.sparse(tickets, "full_text", name)
+    if rank is None or not size:
+        return TextClusters(fit_clusters(vectors, name, profile, size=size, **cluster_args), tfidf)
+    rows = stored(vectors.select(name, "resolution_hours"), "text-vectors")
+    parts = fit_components(rows, name, size, rank, **(component_args or {}))
+    dense = rows.withColumn(name, parts.project(F.col(name)))
+    return TextClusters(fit_clusters(dense, name, profile, size=parts.rank, **cluster_args), tfidf, parts)
 
 
 def train(raw: DataFrame, profile: AuditProfile = CPU, signal_args: dict | None = None,

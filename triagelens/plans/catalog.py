@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from triagelens.operators import normalise as N
 from triagelens.operators import resolution as R
 from triagelens.operators import robustness as B
 from triagelens.operators import zero_shot as Z
+from triagelens.operators.components import fit_components
 from triagelens.operators.encoding import encode_labels
 from triagelens.operators.quantiles import quantile_table
 from triagelens.operators.rules import score_rules
@@ -946,6 +948,40 @@ def text_clusters(spark, sf):
     return _clustering(assigned, level, model.inner.model, entries)
 
 
+@query
+def text_vector_clusters(spark, sf):
+    """The cluster signal over dense vectors of the tickets' texts: 32 singular directions."""
+    model = _fitted(spark, sf, "text vector clusters", lambda: P.fit_text_clusters(
+        _tickets(spark, sf), CPU, rank=32, **FIT_ARGS["clusters"]))
+    dense = P.stored(model.vectors(_tickets(spark, sf)), "text-vectors")
+    assigned = model.inner.score(dense)
+    level = U.cluster_severity(F.col("cluster"), model.inner.ranking)
+    entries = dense.select(F.posexplode(U.unit_array(F.col(model.inner.vector)))).toDF("place", "x")
+    return _clustering(assigned, level, model.inner.model, entries)
+
+
+@query
+def text_components(spark, sf):
+    """Leading singular directions of the documents' TF-IDF rows.  The projections of all rows
+    on a direction have its singular value as their length, and those on two are orthogonal."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    tfidf = fit_tfidf(docs, "text", P.CLUSTER_TERMS, 2, max_n=1)
+    rows = P.stored(tfidf.sparse(docs, "text", "v").select("doc_id", "v"), "text-vectors")
+    made = fit_components(rows, "v", len(tfidf.vocabulary), 32)
+    own = rows.select("doc_id", made.project(F.col("v")).alias("p"))
+    places = own.select(F.posexplode("p").alias("place", "x"), "p")
+    moments = places.select("place", F.posexplode("p").alias("other", "y"), "x").groupBy("place", "other").agg(
+        F.sum(F.col("x") * F.col("y")).alias("s"))
+    squares = F.expr("array(" + ", ".join(f"{x * x!r}D" for x in made.values.tolist()) + ")")
+    want = F.when(F.col("place") == F.col("other"), F.get(squares, F.col("place"))).otherwise(0.0)
+    facts = moments.agg(
+        F.count(F.lit(1)).alias("n_moments"),
+        _all(F.abs(F.col("s") - want) <= 1e-6 * F.get(squares, F.lit(0)), "moments_are_squares"),
+        (F.sum(F.when(F.col("place") == F.col("other"), F.col("s"))) < made.total).alias("below_total"))
+    return facts.withColumn("falling", F.lit(bool((np.diff(made.values) <= 0).all()))).withColumn(
+        "n", F.lit(own.count()))
+
+
 @query
 def fit_classifier(spark, sf):
     _, classifier, df = _run(spark, sf)

@@ -740,6 +740,9 @@ put("fit_clusters", "", "SELECT count(*) AS n, true AS levels_in_range, true AS
     "true AS below_one_cluster, true AS all_clusters_used FROM embeddings")
 put("text_clusters", BATCH, "SELECT count(*) AS n, true AS levels_in_range, true AS levels_follow_ranks, "
     "true AS below_one_cluster, true AS all_clusters_used FROM n")
+SQL["text_vector_clusters"] = SQL["text_clusters"]
+put("text_components", "", "SELECT count(*) AS n, 32 * 32::BIGINT AS n_moments, true AS moments_are_squares, "
+    "true AS below_total, true AS falling FROM documents")
 for _name in ("fit_classifier", "fit_forest", "fit_text_classifier"):
     put(_name, "", "SELECT 1::BIGINT AS n, true AS between_0_and_1, true AS beats_majority")
 put("score_all", BATCH, "SELECT count(*) AS n, true AS between_0_and_1, true AS flags_follow_threshold FROM n")
