@@ -8,12 +8,14 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 
 from triagelens.functions.text import missing_to_null
 from triagelens.operators.dossier import DOSSIER
+from triagelens.sources.records import read_csv_records
 
 # Quotes are doubled, and blanks at the ends of a cell are data.
 CSV_OPTIONS = {
     "header": True, "quote": '"', "escape": '"',
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
+# The published columns.
 PREDICTION_COLUMNS = (
     "ticket_id", "ticket_subject", "ticket_priority", "inferred_severity_label", "mismatch",
     "mismatch_pred", "mismatch_confidence", "mismatch_type", "severity_delta",
@@ -24,12 +26,16 @@ def read_tickets(spark: SparkSession, path: str, fmt: str = "csv",
                  multi_line: bool = True) -> DataFrame:
     """Raw tickets, every CSV column as a string, missing markers as NULL.
 
-    ``multi_line=False`` lets Spark split large CSV files; use it when no quoted text
-    holds a line break.  Parquet, ORC and JSON are read with their own types.
+    Large CSV files are split although quoted text may hold line breaks (``records``);
+    ``multi_line=False`` saves the pass over the quotes when none does.  Parquet, ORC and JSON
+    are read with their own types.
     """
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
-    raw = spark.read.csv(path, multiLine=multi_line, inferSchema=False, **CSV_OPTIONS)
+    if multi_line:
+        raw = read_csv_records(spark, path, CSV_OPTIONS)
+    else:
+        raw = spark.read.csv(path, multiLine=False, inferSchema=False, **CSV_OPTIONS)
     return raw.select(*[missing_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 
