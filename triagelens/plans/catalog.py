@@ -292,7 +292,7 @@ def _hours(spark, sf) -> DataFrame:
 
 @query
 def resolution_quartiles(spark, sf):
-    hours = _hours(spark, sf)
+    hours = P.stored(_hours(spark, sf).select("ticket_id", "resolution_hours"), "hours")  # read three times
     q = R.quartiles(hours)
     n = R.training_rows(hours).agg(
         F.count(F.lit(1)).alias("n_training"),
@@ -759,6 +759,16 @@ def labeled_roundtrip(spark, sf):
                        _joined("rule_keywords").alias("keywords"), _r("rule_raw", "raw"))
 
 
+@query
+def labeled_csv_roundtrip(spark, sf):
+    """The labelled table as CSV with nested columns as JSON, read back with its types."""
+    path, df = shared_dir(spark, "labeled-csv"), labelled(spark, sf)
+    S.write_labeled(df, path, "csv")
+    back = S.read_labeled(spark, path, df.schema, "csv")
+    return back.select("ticket_id", "severity_fused", "mismatch_type", F.md5("ticket_description").alias("text_md5"),
+                       _joined("rule_keywords").alias("keywords"), _r("rule_raw", "raw"))
+
+
 @query
 def predictions_roundtrip(spark, sf):
     path = shared_dir(spark, "predictions")

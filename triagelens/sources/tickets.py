@@ -56,6 +56,16 @@ def write_labeled(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         df.write.mode("overwrite").format(fmt).save(path)
 
 
+def read_labeled(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
+    """The table that ``write_labeled`` wrote, with the types of ``schema``."""
+    if fmt != "csv":
+        return spark.read.schema(schema).format(fmt).load(path)
+    raw = read_csv_records(spark, path, CSV_OPTIONS)
+    return raw.select(*[
+        (F.from_json(F.col(f"`{f.name}`"), f.dataType) if isinstance(f.dataType, (ArrayType, MapType, StructType))
+         else F.col(f"`{f.name}`").cast(f.dataType)).alias(f.name) for f in schema.fields])
+
+
 def predictions(df: DataFrame) -> DataFrame:
     """The published columns, as far as present."""
     return df.select(*[c for c in PREDICTION_COLUMNS if c in df.columns])

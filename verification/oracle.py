@@ -720,6 +720,8 @@ put("type_confusion", _CASES, "SELECT expected_type, mismatch_type, count(*) AS
 # ------------------------------------------------------------ sinks, streams
 put("labeled_roundtrip", _CPU, f"""SELECT ticket_id, severity_fused, mismatch_type, {pipe('rule_keywords')} AS keywords,
   round(rule_raw, 6) AS raw FROM f""")
+put("labeled_csv_roundtrip", _CPU, f"""SELECT ticket_id, severity_fused, mismatch_type, md5(ticket_description) AS text_md5,
+  {pipe('rule_keywords')} AS keywords, round(rule_raw, 6) AS raw FROM f""")
 put("predictions_roundtrip", _CPU, """SELECT ticket_id, ticket_subject, ticket_priority, inferred_severity_label,
   mismatch AS mismatch_pred, round(mismatch_confidence, 6) AS mismatch_confidence, mismatch_type, severity_delta FROM f""")
 put("run_summary", labelled(FULL), _BREAKDOWN)
