@@ -52,6 +52,35 @@ def test_phrase_hits_brute_force(spark, profile):
         assert [(h["phrase"], h["negated"]) for h in row["h"]] == want
 
 
+@pytest.mark.parametrize("profile", [FULL, CPU, LIVE])
+def test_found_phrases_as_the_column_expression(spark, profile):
+    rng = random.Random(6)
+    rules = profile.rules
+    pieces = [p for tier in rules.tiers.values() for p in tier] + list(rules.negations) + list(rules.intensifiers)
+    ends = ["", ".", "s", "!", "\u2019s", "\u00a0", "é", "²", "\u2028", "日本", "_", "\x1c", "ⅷ", "\u0301"]
+    texts = [None, "", "!!", " ", "\u00a0"] + [
+        rng.choice(["", " ", "—"]) + " ".join(rng.choice(pieces) + rng.choice(ends) for _ in range(rng.randint(1, 12)))
+        for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(
+        "t", L.found_phrases(F.col("t"), rules).alias("f"), L.phrase_hits(F.col("t"), L.token_line(F.col("t")), rules).alias("h"),
+        X.contains_count(F.col("t"), rules.intensifiers).alias("n")).collect()
+    assert any(h["negated"] for r in rows if r["h"] for h in r["h"])
+    for r in rows:
+        assert (r["f"]["hits"], r["f"]["boosts"]) == (r["h"], r["n"])
+
+
+def test_rules_search_bytes_and_clean_text_skips_plain_texts(spark):
+    """Rules run no pattern over the text and cleaning looks for tags only where a sign of them is."""
+    df = spark.createDataFrame([("s", "d", "Email")], "ticket_subject string, ticket_description string, ticket_channel string")
+    plan = score_rules(df, FULL.rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp_replace" not in plan.split("ArrowEvalPython")[1]
+    cases = {"a <b>x</b>  y": "a x y", "see http://x.y/z now": "see now", " a\n\u00a0b ": "a b", "1 < 2": "1 < 2",
+             "h<i>ttp://q r": "h ttp://q r", "https:/<b>/x y": "https:/ /x y", None: "", "x\u2003\ty\x85": "x y"}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", X.clean_text(F.col("t")).alias("c")).collect()
+    assert {r["t"]: r["c"] for r in rows} == cases
+
+
 def test_rule_differences_between_profiles(spark):
     df = spark.createDataFrame(
         [("a question", "", "Email"), ("we know data breach", "", " Phone "), ("life", "", "Web"),
@@ -167,4 +196,5 @@ def test_words_found_against_plain_python(spark):
     texts = ["xabcx abx", "data lossecurity", "criticalurgent", "", None, "nothing here? no", "AB", "\u00e9a\u20acab"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
     got = {r["id"]: r["w"] for r in df.select("id", X.words_found(F.col("t"), words).alias("w")).collect()}
+    assert got == {r["id"]: r["w"] for r in df.select("id", X.find_words(F.col("t"), words).alias("w")).collect()}
     assert got == {i: None if t is None else [w for w in words if w in t] for i, t in enumerate(texts)}
