@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from triagelens.sources import tickets
 from triagelens.sources.records import csv_records, read_csv_records
 from triagelens.sources.tickets import CSV_OPTIONS
 
@@ -50,3 +51,16 @@ def test_blank_lines_open_quotes_and_short_rows(spark, tmp_path):
     assert got == {"1,", '"2","x\ny"', "3", '4,"open\nend'}
     rows = {r["h"]: r["i"] for r in read_csv_records(spark, str(path), CSV_OPTIONS).filter("h < 4").collect()}
     assert rows == {"1": None, "2": "x\ny", "3": None}
+
+
+def test_labelled_csv_is_compressed_in_files_of_bounded_length(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tickets, "CSV_RECORDS_PER_FILE", 100)
+    texts = [f"line {i}\n" + " ".join(str(i * j) for j in range(200)) for i in range(450)]
+    df = spark.createDataFrame([(i, t, "s. " + t, [t[:6], '"']) for i, t in enumerate(texts)],
+                               "id int, d string, full_text string, k array<string>").coalesce(1)
+    tickets.write_labeled(df, str(tmp_path / "t"), "csv")
+    files = list((tmp_path / "t").glob("part-*"))
+    assert len(files) == 5 and all(f.name.endswith(".csv.gz") for f in files)
+    assert sum(f.stat().st_size for f in files) < sum(map(len, texts))  # of twice that many characters
+    back = tickets.read_labeled(spark, str(tmp_path / "t"), df.schema, "csv")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))

@@ -15,6 +15,9 @@ CSV_OPTIONS = {
     "header": True, "quote": '"', "escape": '"',
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
+# A whole text stands in several columns of the labelled table.  A compressed file is one split,
+# so files end after a number of records and are read side by side.
+CSV_RECORDS_PER_FILE = 20_000
 # The published columns.
 PREDICTION_COLUMNS = (
     "ticket_id", "ticket_subject", "ticket_priority", "inferred_severity_label", "mismatch",
@@ -48,10 +51,11 @@ def flatten_for_csv(df: DataFrame) -> DataFrame:
     return df.withColumns(nested) if nested else df
 
 
-def write_labeled(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """The whole enriched table."""
+def write_labeled(df: DataFrame, path: str, fmt: str = "parquet", compression: str = "gzip") -> None:
+    """The whole enriched table; ``compression`` is that of CSV files."""
     if fmt == "csv":
-        flatten_for_csv(df).write.mode("overwrite").csv(path, **CSV_OPTIONS)
+        flatten_for_csv(df).write.mode("overwrite").option("maxRecordsPerFile", CSV_RECORDS_PER_FILE).csv(
+            path, compression=compression, **CSV_OPTIONS)
     else:
         df.write.mode("overwrite").format(fmt).save(path)
 
@@ -72,7 +76,7 @@ def predictions(df: DataFrame) -> DataFrame:
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    write_labeled(predictions(df), path, fmt)
+    write_labeled(predictions(df), path, fmt, "none")
 
 
 def write_dossiers(dossiers: DataFrame, path: str) -> None:
