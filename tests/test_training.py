@@ -148,3 +148,18 @@ def test_sparse_rows_are_the_weights(spark):
     assert sparse.keys() == long.keys() and all(abs(sparse[k] - long[k]) < 1e-12 for k in long)
     vectors = {r["id"]: r["x"] for r in model.vectors(df, "t", "x").collect()}
     assert {(i, model.vocabulary[j]): v for i, x in vectors.items() for j, v in zip(x.indices.tolist(), x.values, strict=True)} == sparse
+
+
+def test_features_of_the_sample_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        made.add(1)
+        return float(i % 7)
+
+    row = F.struct(F.array(F.lit(0)).alias("indices"), F.array(value("id")).alias("values"))
+    df = spark.range(200).select(row.alias("features"), (F.col("id") % 2).cast("double").alias("label"),
+                                 F.lit(1.0).alias("weight"), F.lit(False).alias("validation"))
+    T.boost(df, 0, 1, T.BoostArgs("squared", 2, 2), str(tmp_path / "s"))
+    assert made.value == 200
