@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from triagelens.operators import tfidf as V
 
@@ -60,3 +61,23 @@ def test_no_rows_and_no_terms(spark):
     assert V.fit_tfidf(spark.createDataFrame([(None,), ("",)], "body string"), "body", 10, 1).vocabulary == ()
     with pytest.raises(ValueError):
         V.fit_tfidf(empty, "body", 10, 1, max_n=3)
+
+
+@pytest.mark.parametrize("max_n", [1, 2])
+def test_own_terms_of_a_row(spark, monkeypatch, max_n):
+    """Counts per row against plain Python, also where a batch is cut into many slices; a missing
+    text has no terms."""
+    monkeypatch.setattr(V, "BYTES_AT_ONCE", 500)
+    rows = [*texts(), "a\u0663\u0664 x\u2003yy-yy\u00a0yy \U0001F600zz zz_9", "tail  "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, body string").repartition(3)
+    made = V.fit_tfidf(df, "body", 400, 1, max_n)
+    got = {r["id"]: dict(zip(r["c"]["indices"], r["c"]["values"], strict=True))
+           for r in df.select("id", made.counts(F.col("body")).alias("c")).collect()}
+    place = {t: i for i, t in enumerate(made.vocabulary)}
+    for i, text in enumerate(rows):
+        found = [w for w in V_split(text) if len(w) >= 2]
+        if max_n == 2:
+            found += [f"{a} {b}" for a, b in zip(found, found[1:])]
+        assert got[i] == {place[t]: n for t, n in Counter(found).items() if t in place}
+    weighed = made.sparse(df.filter("body is null"), "body", "v").first()["v"]
+    assert weighed["indices"] == weighed["values"] == []
