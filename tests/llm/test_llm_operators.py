@@ -152,6 +152,25 @@ def test_tokens_of_odd_texts(text):
     assert decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_merges_look_ranks_up_once():
+    """One look-up per pair of the word and two per merge; queue entries need none."""
+    looked = []
+
+    class Counted(dict):
+        def get(self, *args):
+            looked.append(args)
+            return super().get(*args)
+
+    own = bpe.Codec(VOCABULARY)
+    plain = own.encode("internationalisation " * 2)
+    own.words.clear(), own.cache.clear()
+    own.ranks = [Counted(r) for r in own.ranks]
+    assert own.encode("internationalisation " * 2) == plain
+    n = len("internationalisation")
+    merges = n - len(own.words["internationalisation"][0]) // 4
+    assert merges and len(looked) <= n - 1 + 2 * merges
+
+
 def test_encoded_keeps_columns(odd):
     found = bpe.encoded(odd, VOCABULARY)
     assert found.columns == [*odd.columns, "n_tokens", "ids", "decoded"]

@@ -18,12 +18,12 @@ table.  The strings of special tokens in a text become their ids.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import regex
@@ -34,12 +34,15 @@ from triagelens.llm.common import whole
 
 #: Unicode white space; controls 28 to 31 are not.
 SPACE = r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: What ``str.split`` takes for white space besides.
+CONTROLS = regex.compile(r"[\x1c-\x1f]")
 #: Fixed value: the pieces in which the vocabulary's merges were counted.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces that a task remembers; beyond it the cache starts anew.
-REMEMBERED = 1 << 17
+#: Pieces and words that a task remembers; beyond it the cache starts anew.
+REMEMBERED = 1 << 18
 #: Rows that a task encodes before it hands them on.
 AT_ONCE = 500
+_NO_PAIRS: dict[int, int] = {}
 
 
 def byte_letters() -> list[str]:
@@ -49,6 +52,28 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def joined(parts: Iterable[tuple[bytes, str]]) -> tuple[bytes, str]:
+    """Ids and decoded texts put together; what has no ids has no text."""
+    parts = list(parts)
+    return b"".join([a for a, _ in parts]), " ".join([b for _, b in parts if b])
+
+
+class Remembered(dict):
+    """Texts and what is made of them when they are first asked for."""
+
+    def __init__(self, make: Callable[[str], tuple[bytes, str]]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str) -> tuple[bytes, str]:
+        made = self.make(text)
+        if len(text) <= 40:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[text] = made
+        return made
+
+
 class Codec:
     """Vocabulary, merges and special tokens of one file."""
 
@@ -60,11 +85,14 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in made["added_tokens"]}
         self.strings = {i: s for s, i in {**self.ids, **self.special}.items()}
         self.end = model["end_of_word_suffix"] or ""
-        #: Rank of a pair of symbols, and the symbol that each rank makes.
-        self.ranks: dict[int, int] = {}
+        #: Ranks of the pairs of every left symbol, by the right one, and the symbol that each
+        #: rank makes.
+        self.ranks: list[dict[int, int]] = [_NO_PAIRS] * (max(self.ids.values()) + 1)
         self.made: list[int] = []
         for rank, (a, b) in enumerate(model["merges"]):
-            self.ranks[self.ids[a] << 32 | self.ids[b]] = rank
+            if self.ranks[self.ids[a]] is _NO_PAIRS:
+                self.ranks[self.ids[a]] = {}
+            self.ranks[self.ids[a]][self.ids[b]] = rank
             self.made.append(self.ids[a + b])
         letters = byte_letters()
         self.first = [self.ids[c] for c in letters]
@@ -72,83 +100,79 @@ class Codec:
         self.pieces = regex.compile(PIECE)
         self.spaces = regex.compile(SPACE)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.cache, self.words = Remembered(self.piece), Remembered(self.word)
 
     def merged(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges.
 
-        A queue entry is the rank above the position of the left symbol; a merged right
-        symbol becomes -1, which no pair contains.
+        A queue entry is the rank above the position of the left symbol.  ``at`` holds the rank
+        of the pair that starts at each position now, -1 for none or a merged right symbol; an
+        entry with another rank is stale.
         """
-        n, rank_of = len(symbols), self.ranks.get
+        n, ranks, made = len(symbols), self.ranks, self.made
         if n < 2:
             return symbols
-        queue = []
-        for i in range(n - 1):
-            if (rank := rank_of(symbols[i] << 32 | symbols[i + 1])) is not None:
-                queue.append(rank << 32 | i)
+        at = [ranks[a].get(b, -1) for a, b in zip(symbols, symbols[1:])]
+        shift = 14 if n < 1 << 14 else 32  # short words: entries of one machine digit
+        queue = [r << shift | i for i, r in enumerate(at) if r >= 0]
         if not queue:
             return symbols
-        heapq.heapify(queue)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heapify(queue)
+        at.append(-1)
+        after, before, low = list(range(1, n + 1)), list(range(-1, n - 1)), (1 << shift) - 1
         while queue:
-            top = heapq.heappop(queue)
-            i, rank = top & 0xFFFFFFFF, top >> 32
-            j = after[i]
-            if j >= n or symbols[i] < 0 or rank_of(symbols[i] << 32 | symbols[j]) != rank:
-                continue  # stale: one of the two has changed
-            new = self.made[rank]
-            symbols[i], symbols[j] = new, -1
+            top = heappop(queue)
+            i, rank = top & low, top >> shift
+            if at[i] != rank:
+                continue
+            new, j = made[rank], after[i]
+            symbols[i], symbols[j], at[j] = new, -1, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (rank := rank_of(new << 32 | symbols[k])) is not None:
-                    heapq.heappush(queue, rank << 32 | i)
-            if (h := before[i]) >= 0 and (rank := rank_of(symbols[h] << 32 | new)) is not None:
-                heapq.heappush(queue, rank << 32 | h)
+                at[i] = rank = ranks[new].get(symbols[k], -1)
+                if rank >= 0:
+                    heappush(queue, rank << shift | i)
+            else:
+                at[i] = -1
+            if (h := before[i]) >= 0:
+                at[h] = rank = ranks[symbols[h]].get(new, -1)
+                if rank >= 0:
+                    heappush(queue, rank << shift | h)
         return [s for s in symbols if s >= 0]
 
-    def word(self, word: str) -> list[int]:
-        if (known := self.words.get(word)) is not None:
-            return known
+    def word(self, word: str) -> tuple[bytes, str]:
+        """The ids, as little-endian 32-bit integers, and the decoded text of a word."""
         data, first = word.encode(), self.first
-        found = self.merged([*[first[b] for b in data[:-1]], self.last[data[-1]]])
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        if len(word) <= 40:
-            self.words[word] = found
-        return found
-
-    def plain(self, part: str) -> list[int]:
-        """The ids of text without special tokens and white space."""
-        part = unicodedata.normalize("NFC", part)
-        # letter by letter: no letter's lower case depends on its neighbours
-        part = part.lower() if "Σ" not in part else part.replace("Σ", "σ").lower()
-        return [i for word in self.pieces.findall(part) for i in self.word(word)]
+        symbols = [first[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        symbols = self.merged(symbols)
+        return array("I", symbols).tobytes(), " ".join([self.strings[i] for i in symbols])
+
+    def plain(self, part: str) -> tuple[bytes, str]:
+        """The same for text without special tokens and white space."""
+        if part.isascii():
+            part = part.lower()
+            if part.isalpha():
+                return self.words[part]
+        else:
+            part = unicodedata.normalize("NFC", part)
+            # letter by letter: no letter's lower case depends on its neighbours
+            part = part.lower() if "Σ" not in part else part.replace("Σ", "σ").lower()
+        return joined([self.words[word] for word in self.pieces.findall(part)])
 
     def piece(self, piece: str) -> tuple[bytes, str]:
-        """The ids, as little-endian 32-bit integers, and the decoded text of a piece
-        between white space."""
-        if (known := self.cache.get(piece)) is not None:
-            return known
-        if self.marks and "<|" in piece:
-            ids = []
-            for part in self.marks.split(piece):
-                ids += [self.special[part]] if part in self.special else self.plain(part)
-        else:
-            ids = self.plain(piece)
-        made = array("I", ids).tobytes(), " ".join([self.strings[i] for i in ids])
-        if len(self.cache) >= REMEMBERED:
-            self.cache.clear()
-        if len(piece) <= 40:
-            self.cache[piece] = made
-        return made
+        """The same for a piece between white space."""
+        if not self.marks or "<|" not in piece:
+            return self.plain(piece)
+        return joined([(array("I", [self.special[part]]).tobytes(), part) if part in self.special else self.plain(part)
+                       for part in self.marks.split(piece)])
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """The ids of a text and the text they decode to."""
-        found = [self.piece(p) for p in self.spaces.split(text) if p]
-        return b"".join([a for a, _ in found]), " ".join([b for _, b in found if b])
+        # split() knows the same white space, but for four controls that belong to pieces
+        parts = text.split() if not CONTROLS.search(text) else [p for p in self.spaces.split(text) if p]
+        return joined(map(self.cache.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
