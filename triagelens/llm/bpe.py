@@ -6,7 +6,7 @@ changed meanwhile are skipped as stale, and each merge queues the two pairs it c
 a word of n symbols costs n log n however long it is.  Decoding concatenates the strings
 of the vocabulary.
 
-Texts stay where they are: tasks encode their own rows and keep a bounded cache of pieces
+Texts stay where they are: tasks encode their own rows and keep bounded caches of words and of pieces
 between white space.  Every executor reads the vocabulary file by its path.
 
 Defined cases: a missing text is an empty text; an empty text has no ids and decodes to
