@@ -12,7 +12,9 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,47 +116,119 @@ _ASCII = bytes(range(128))
 _BLANKED = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 
 
+# Set around every phrase that is found in a text.
+_BEGIN, _END = b"\x01", b"\x02"
+
+
 def _blanked(text: bytes) -> bytes:
-    """Every character that is no letter, digit or underscore as a blank."""
+    """Every byte of a character that is no letter, digit or underscore as a blank."""
     others = text.translate(None, _ASCII)
     if others:
         for c in set(others.decode("utf-8", "replace")):
             if unicodedata.category(c)[0] not in "LN":
-                text = text.replace(c.encode(), b" ")
+                text = text.replace(c.encode(), b" " * len(c.encode()))
     return text.translate(_BLANKED)
 
 
+def _first_place(blanked: bytes, words: list[bytes]) -> int:
+    """Where the words stand as consecutive tokens for the first time, or -1."""
+    at, size = blanked.find(words[0]), len(blanked)
+    while at >= 0:
+        end = at + len(words[0])
+        if at == 0 or blanked[at - 1] == 32:
+            for word in words[1:]:
+                begin = end
+                while begin < size and blanked[begin] == 32:
+                    begin += 1
+                if begin == end or not blanked.startswith(word, begin):
+                    break
+                end = begin + len(word)
+            else:
+                if end == size or blanked[end] == 32:
+                    return at
+        at = blanked.find(words[0], at + 1)
+    return -1
+
+
+def _window(blanked: bytes, at: int) -> bytes:
+    """The tokens before a place, as many as a negation may stand in.  The line of tokens begins
+    with an empty one, and with two if the text does not begin with a word."""
+    before = blanked[:at].rsplit(None, K.NEGATION_WINDOW)
+    if len(before) < K.NEGATION_WINDOW:
+        before = [b""] * (1 + (blanked[:1] == b" ")) + before
+    return b" ".join(before[-K.NEGATION_WINDOW:])
+
+
+def _any_of(parts: list[str]) -> str:
+    return "|".join(re.escape(p) for p in sorted(parts, key=len, reverse=True))
+
+
+def _rows_with(texts: pa.Array, pattern: str) -> np.ndarray:
+    found = pc.fill_null(pc.match_substring_regex(texts, pattern=pattern), False)
+    return np.flatnonzero(found.to_numpy(zero_copy_only=False))
+
+
+def _related(phrases: list[bytes]) -> dict[bytes, tuple[set[int], list[tuple[int, tuple[bytes, ...]]]]]:
+    """By phrase: the phrases (by number) that stand in it, and for each place in it the phrases
+    that may begin there and end behind it."""
+    out = {}
+    for m in phrases:
+        across = [(o, tuple(p for p in phrases if len(p) > len(m) - o and p.startswith(m[o:]))) for o in range(1, len(m))]
+        out[m] = {i for i, p in enumerate(phrases) if p in m}, [(o, ps) for o, ps in across if ps]
+    return out
+
+
+def _occurring(whole: bytes, marked: bytes, phrases: list[bytes], related: dict) -> set[int]:
+    """Which phrases (by number) occur in a text as substrings.  ``marked`` is the text with marks
+    around the phrases that a search from left to right finds, the longest at each place: any other
+    phrase begins inside one of them."""
+    if _BEGIN in whole or _END in whole:
+        return {i for i, p in enumerate(phrases) if p in whole}
+    found: set[int] = set()
+    head, *parts = marked.split(_BEGIN)
+    at = len(head)
+    for part in parts:
+        inside, across = related[part[:part.index(_END)]]
+        found |= inside
+        for offset, some in across:
+            if whole.startswith(some, at + offset):
+                found |= {i for i, p in enumerate(phrases) if whole.startswith(p, at + offset)}
+        at += len(part) - 1
+    return found
+
+
 def found_phrases(text: Column, profile: RuleProfile) -> Column:
     """``struct<hits, boosts>``: the phrase hits as ``phrase_hits`` gives them, and how many of
     the intensifiers occur; both missing for a missing text."""
-    table = {w.encode(): [(e.order, e.tier, e.phrase, e.phrase.encode(), f" {' '.join(e.words)} ".encode()) for e in es]
-             for w, es in _by_first_word(_entries(profile)).items()}
-    first_words = frozenset(table)
-    negations = [n.encode() for n in profile.negations]
+    entries = [(e.order, e.tier, e.phrase, [w.encode() for w in e.words]) for e in _entries(profile)]
+    phrases = [e[2].encode() for e in entries]
+    related = _related(phrases)
+    any_phrase, any_intensifier = f"({_any_of([e[2] for e in entries])})", _any_of(list(profile.intensifiers))
+    marks = f"{_BEGIN.decode()}\\1{_END.decode()}"
+    negation = re.compile(b"|".join(re.escape(n.encode()) for n in profile.negations) or b"(?!)")
     intensifiers = [w.encode() for w in profile.intensifiers]
 
-    def hits(whole: bytes) -> list[dict]:
-        blanked = _blanked(whole)
-        words = blanked.split()
-        possible = [e for w in first_words.intersection(words) for e in table[w] if e[3] in whole]
-        if not possible:
-            return []
-        lead, end = blanked[:1] == b" ", blanked[-1:] == b" "
-        line = b" " * (1 + lead) + b" ".join(words) + b" " * (1 + end)
-        out = []
-        for order, tier, phrase, _, needle in sorted(possible):
-            at = line.find(needle)
+    def hits(whole: bytes, possible: set[int]) -> list[dict]:
+        blanked, out = _blanked(whole), []
+        for i in sorted(possible):
+            order, tier, phrase, words = entries[i]
+            at = _first_place(blanked, words)
             if at >= 0:
-                window = b" ".join(line[:at].rsplit(b" ", K.NEGATION_WINDOW)[-K.NEGATION_WINDOW:])
-                out.append({"ord": order, "tier": tier, "phrase": phrase, "negated": any(n in window for n in negations)})
+                negated = negation.search(_window(blanked, at)) is not None
+                out.append({"ord": order, "tier": tier, "phrase": phrase, "negated": negated})
         return out
 
     @F.arrow_udf(FOUND)
     def run(texts: pa.Array) -> pa.Array:
-        found, boosts = [], []
-        for whole in texts.cast(pa.binary()).to_pylist():
-            found.append(None if whole is None else hits(whole))
-            boosts.append(None if whole is None else sum(w in whole for w in intensifiers))
+        wholes = texts.cast(pa.binary()).to_pylist()
+        found = [None if whole is None else [] for whole in wholes]
+        boosts = [None if whole is None else 0 for whole in wholes]
+        rows = _rows_with(texts, any_phrase)
+        marked = pc.replace_substring_regex(texts.take(rows), pattern=any_phrase, replacement=marks)
+        for row, line in zip(rows.tolist(), marked.cast(pa.binary()).to_pylist(), strict=True):
+            found[row] = hits(wholes[row], _occurring(wholes[row], line, phrases, related))
+        for row in _rows_with(texts, any_intensifier).tolist() if intensifiers else ():
+            boosts[row] = sum(w in wholes[row] for w in intensifiers)
         return pa.StructArray.from_arrays([pa.array(found, pa.list_(_HIT)), pa.array(boosts, pa.int32())],
                                           names=["hits", "boosts"])
 
