@@ -267,3 +267,20 @@ def test_template_needs_all_three_columns(spark):
     assert N.check_template(whole, FULL) is whole
     with pytest.raises(ValueError, match="ticket_description"):
         N.check_template(whole.drop("description"), FULL)
+
+
+def test_stored_scores_shuffle_no_texts(spark, tmp_path):
+    """Only the digest, the fallback and the columns that are asked for cross the join with the answers."""
+    long = "word " * 400
+    df = spark.createDataFrame([(str(i), f"s {i}", f"{long} {i}", "Web", "General") for i in range(4)],
+                               "ticket_id string, ticket_subject string, ticket_description string, ticket_channel string, ticket_type string")
+
+    def unsure():
+        return lambda prompts: ["no"] * len(prompts)
+
+    scored = Z.score_stored(df, unsure, str(tmp_path / "answers")).select("ticket_id", "severity_llm", "llm_reason")
+    assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, Z.score_heuristic(df).select(*scored.columns).collect()))
+    above = scored._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[0]
+    assert "ticket_description" not in above
+    again = Z.score_stored(df, unsure, str(tmp_path / "answers"))
+    assert again.count() == 4 and not list(tmp_path.glob("prompts*"))
