@@ -284,3 +284,12 @@ def test_stored_scores_shuffle_no_texts(spark, tmp_path):
     assert "ticket_description" not in above
     again = Z.score_stored(df, unsure, str(tmp_path / "answers"))
     assert again.count() == 4 and not list(tmp_path.glob("prompts*"))
+
+
+def test_grounding_is_judged_once(spark):
+    """The texts of a ticket are cut once for the answer and its shown reason."""
+    df = spark.createDataFrame([("app is down", "app is down today", 3, "app is down"), ("a", "b", 2, "no such words")],
+                               "ticket_subject string, ticket_description string, severity_llm int, llm_reason string")
+    found = df.select(D.llm_evidence(stemmed=False).alias("e"))
+    assert [r["e"]["grounded"] for r in found.collect()] == [True, False]
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2
