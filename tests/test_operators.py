@@ -293,3 +293,9 @@ def test_grounding_is_judged_once(spark):
     found = df.select(D.llm_evidence(stemmed=False).alias("e"))
     assert [r["e"]["grounded"] for r in found.collect()] == [True, False]
     assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2
+
+
+def test_filters_do_not_copy_the_phrase_search(spark, sf_dir):
+    """A filter on a computed level stays above the search for phrases, which stands in the plan once."""
+    plan = labelled(spark, sf_dir).filter("severity_rules > 2")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [run(lower(") == 1
